@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chunking
+from millrace.llm import chunking, language
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +20,20 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(table(spark, d, "unified_records"), table(spark, d, "document_config"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return language.relabel(documents, language.fit(documents))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return language.segments(documents, language.fit(documents))
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return language.languages(documents, language.fit(documents))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
