@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chunking, language
+from millrace.llm import chunking, language, leakage
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(table(spark, d, "unified_records"), table(spark, d, "document_config"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return language.relabel(documents, language.fit(documents))
