@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import chunking, language, leakage, mixing
+from millrace.llm import chunking, language, leakage, mixing, subjects
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,20 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(table(spark, d, "unified_records"), table(spark, d, "document_config"))
 
 
+def _subject_model(spark: SparkSession, d: str) -> subjects.Model:
+    return subjects.fit(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assign(table(spark, d, "documents"), _subject_model(spark, d))
+
+
+def p5_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject: documents about it and the sum of their shares."""
+    found = subjects.shares(table(spark, d, "documents"), _subject_model(spark, d)).where(F.col("share") >= 1 / 3 - 1e-6)
+    return found.groupBy("subject_area").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.sum("share"), 3).alias("share"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
