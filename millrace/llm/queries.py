@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chunking, language, leakage, mixing, subjects
+from millrace.llm import chunking, language, leakage, mixing, names, subjects
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(table(spark, d, "unified_records"), table(spark, d, "document_config"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_pairs(table(spark, d, "entity_graph"), table(spark, d, "concept_graph"))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(table(spark, d, "entity_graph"), table(spark, d, "concept_graph"))
+
+
 def _subject_model(spark: SparkSession, d: str) -> subjects.Model:
     return subjects.fit(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
 
