@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chunking, language, leakage, mixing, names, subjects
+from millrace.llm import chunking, language, leakage, mixing, names, nearduplicates, neighbours, scans, subjects
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.find_noise(table(spark, d, "unified_records"), table(spark, d, "document_config"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "unified_records"))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.most_similar(table(spark, d, "unified_records")).select("id", "other", "rank", F.round("cosine", 3).alias("cosine"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return chunking.find_oversized(table(spark, d, "unified_records"), table(spark, d, "document_config"))
 
@@ -43,6 +55,14 @@ def p5_composition(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("subject_area").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.sum("share"), 3).alias("share"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearduplicates.duplicate_pairs(table(spark, d, "unified_records"))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return nearduplicates.duplicate_classes(table(spark, d, "unified_records"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
