@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.find_noise(table(spark, d, "unified_records"), table(spark, d, "document_config"))
 
 
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "unified_records"), table(spark, d, "document_config"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "unified_records"))
 
