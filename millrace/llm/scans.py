@@ -101,6 +101,10 @@ def _layout(scanned: DataFrame) -> DataFrame:
     values = F.collect_list(F.when(single, F.struct("line_no", "value"))).over(whole)
     lines = lines.withColumn("values", F.when(single, values))
     counted = F.exists("values", lambda v: (F.abs(v["value"] - F.col("value")) == 1) & ((v["line_no"] > F.col("line_no")) == (v["value"] > F.col("value"))) & (F.abs(v["line_no"] - F.col("line_no")) >= 8))
+    # a line that stands once must begin or end as the headers of several records do
+    bare = skeleton(F.regexp_replace("body", r"[0-9|]+|[-–] rev.*$", " "))
+    lines = lines.withColumn("opens", F.regexp_extract(bare, r"^\W*([㐀-鿿]|\w+)", 1)).withColumn("closes", F.regexp_extract(bare, r"([㐀-鿿]{1,2}|\w+)\W*$", 1))
+    lines = materialize(lines.drop("key", "alike", "twice"), "layout")
     beside = F.coalesce(near("repeated", 1), F.lit(False)) | F.coalesce(near("repeated", -1), F.lit(False))
     is_number = F.col("number").isNotNull() & F.when(F.col("plain"), single & (edge | beside | F.coalesce(counted, F.lit(False)))).otherwise(True)
     lines = lines.withColumn("is_number", F.coalesce(is_number, F.lit(False)))
@@ -110,10 +114,8 @@ def _layout(scanned: DataFrame) -> DataFrame:
     short = (F.col("n") > 0) & F.col("unfilled") & open_end & F.col("number").isNull() & ~F.col("body").rlike(r"^\p{Ll}|^[0-9](?![0-9]*  )|[-‐\u00AD¬]$")
     broken = before.rlike(r"[\p{L}\p{N},\-‐\u00AD¬]$") & F.col("after").rlike(r"^\p{Ll}")
     lines = lines.withColumn("lone", short & (edge | beside | F.coalesce(broken, F.lit(False))))
-    # a line that stands once must begin or end as the headers of several records do
-    bare = skeleton(F.regexp_replace("body", r"[0-9|]+|[-–] rev.*$", " "))
-    lines = lines.withColumn("opens", F.regexp_extract(bare, r"^\W*([㐀-鿿]|\w+)", 1)).withColumn("closes", F.regexp_extract(bare, r"([㐀-鿿]{1,2}|\w+)\W*$", 1))
-    often = lambda c: lines.where("repeated").groupBy(c).agg(F.countDistinct("id").alias("records")).where("records >= 2").select(F.col(c).alias(f"known_{c}"))
+    headers = lines.where("repeated").select("id", "opens", "closes")
+    often = lambda c: headers.groupBy(c).agg(F.countDistinct("id").alias("records")).where("records >= 2").select(F.col(c).alias(f"known_{c}"))
     lines = lines.join(often("opens"), F.col("opens") == F.col("known_opens"), "left").join(often("closes"), F.col("closes") == F.col("known_closes"), "left")
     lines = lines.withColumn("lone", F.col("lone") & (F.col("known_opens").isNotNull() | F.col("known_closes").isNotNull() | F.col("body").endswith("…")))
     lines = lines.withColumn("marks", F.max(F.col("ff") | F.col("is_number") | F.col("repeated")).over(record))
