@@ -174,7 +174,7 @@ def find_entities(entities: DataFrame, text: str, least: float = 0.6, limit: int
     asked = sorted(set(re.sub(r"\s+", "", text.lower())))
     chars = F.array_distinct(F.split(F.regexp_replace(F.lower("name"), r"\s+", ""), ""))
     share = F.size(F.array_intersect(chars, F.array(*[F.lit(c) for c in asked]))) / F.greatest(F.size(chars), F.lit(1))
-    match = F.when(F.locate(F.lower("name"), F.lit(text.lower())) > 0, 1.0).otherwise(F.when(share >= least, share * 0.9))
+    match = F.when(F.lit(text.lower()).contains(F.lower("name")), 1.0).otherwise(F.when(share >= least, share * 0.9))
     return entities.where(F.char_length("name") > 0).withColumn("match", match).where("match is not null").orderBy(F.desc("match"), "name").limit(limit)
 
 

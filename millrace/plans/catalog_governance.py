@@ -1 +1,93 @@
-"""Queries."""
+"""Queries over access, lineage and audit."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.operators import governance
+from millrace.plans.registry import Tables, query
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n, min(left(c_name, 2) || repeat('*', length(c_name) - 4) || right(c_name, 2)) AS first_name FROM customer WHERE c_acctbal >= 1000 GROUP BY ALL")
+def acl_governed_source(t: Tables) -> DataFrame:
+    seen = governance.govern(t.customer, governance.Access(frozenset({"c_nationkey", "c_mktsegment", "c_name"}), "c_acctbal >= 1000", {"c_name": "partial"}))
+    return seen.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.min("c_name").alias("first_name"))
+
+
+@query("SELECT c_custkey FROM customer WHERE false")
+def acl_fails_closed(t: Tables) -> DataFrame:
+    return governance.govern(t.customer, governance.Access(rows="no_such_column == 1")).select("c_custkey")
+
+
+_LOG = [
+    ("e1", "clean_orders", "clean", '["orders"]', "ann", "2024-01-01"), ("e2", "joined", "join", '["clean_orders", "customer"]', "bob", "2024-01-02"), ("e3", "report", "export", '["joined"]', "ann", "2024-01-03"),
+    ("e4", "joined", "join", '["clean_orders", "nation"]', "bob", "2024-01-04"), ("e5", "orders", "ingest", "[]", "ann", "2023-12-31"), ("e6", "clean_orders", "clean", '["report"]', "eve", "2024-01-05"),
+]
+_LOG_SQL = "(VALUES " + ", ".join(f"('{a}','{b}','{c}','{d}','{e}','{f}')" for a, b, c, d, e, f in _LOG) + ") AS log (event_id, dataset_name, operation, source_datasets, actor, created_at)"
+
+
+def _log(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(_LOG, "event_id string, dataset_name string, operation string, source_datasets string, actor string, created_at string")
+
+
+@query(f"SELECT DISTINCT unnest(from_json(source_datasets, '[\"VARCHAR\"]')) AS src, dataset_name AS dst FROM {_LOG_SQL}")
+def lineage_edge_list(t: Tables) -> DataFrame:
+    return governance.lineage_edges(_log(t))
+
+
+@query("SELECT * FROM (VALUES ('customer'), ('clean_orders'), ('nation')) AS x (dataset)")
+def lineage_upstream(t: Tables) -> DataFrame:
+    return governance.one_hop(_log(t), "joined", "upstream")
+
+
+@query("SELECT * FROM (VALUES ('clean_orders', 1), ('joined', 2), ('report', 3)) AS x (dataset, depth)")
+def lineage_impact(t: Tables) -> DataFrame:
+    return governance.impact(_log(t), "orders")
+
+
+@query("SELECT * FROM (VALUES (6, 4)) AS x (events, datasets)")
+def lineage_stats(t: Tables) -> DataFrame:
+    return governance.lineage_statistics(_log(t))
+
+
+def _entries(t: Tables) -> DataFrame:
+    return t.events.select(F.col("event_id").cast("string").alias("entry_id"), "event_type", F.lit("events").alias("dataset_name"), F.col("user_id").cast("string").alias("actor"), F.col("props").alias("details"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+_KEY = b"audit-key"
+_PADS = [bytes(b ^ p for b in _KEY.ljust(64, b"\0")).hex() for p in (0x36, 0x5C)]
+
+
+@query(f"""WITH b AS (SELECT event_id::VARCHAR AS entry_id, '{{"actor":"' || user_id || '","created_at":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","dataset_name":"events","details":"' || replace(props, '"', '\\"') || '","entry_id":"' || event_id || '","event_type":"' || event_type || '"}}' AS body FROM events)
+SELECT entry_id, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(body)))) AS hmac_hash FROM b""")
+def audit_signed(t: Tables) -> DataFrame:
+    return governance.signed(_entries(t), _KEY).select("entry_id", "hmac_hash")
+
+
+@query("SELECT event_type, count(*) AS n, 0 AS invalid FROM events GROUP BY event_type")
+def audit_verified(t: Tables) -> DataFrame:
+    checked = governance.verified(governance.signed(_entries(t), _KEY), _KEY)
+    return checked.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("invalid"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'")
+def audit_filtered(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("dataset_name", F.lit("events"))
+    return governance.audit_query(rows, "events", "click", F.lit("2024-01-10").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"), "ts").select("event_id")
+
+
+@query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL), z AS (SELECT *, round((n - avg(n) OVER (PARTITION BY event_type)) / stddev_samp(n) OVER (PARTITION BY event_type), 6) AS z FROM h)
+SELECT event_type, strftime(hour, '%Y-%m-%d %H') AS hour, n, z FROM z WHERE z >= 2""")
+def audit_hourly_anomalies(t: Tables) -> DataFrame:
+    return governance.hourly_anomalies(t.events, "ts", ["event_type"], 2.0).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
+
+
+@query("WITH a AS (SELECT user_id AS actor, count(*) AS n FROM events GROUP BY user_id), z AS (SELECT *, round((n - (SELECT avg(n) FROM a)) / (SELECT stddev_samp(n) FROM a), 6) AS z FROM a) SELECT * FROM z WHERE z >= 1.5")
+def audit_actor_anomalies(t: Tables) -> DataFrame:
+    return governance.actor_anomalies(t.events, "user_id", 1.5)
+
+
+@query("SELECT user_id AS actor, count(*) AS n FROM events WHERE hour(ts) BETWEEN 0 AND 6 GROUP BY user_id HAVING count(*) >= 10")
+def audit_off_hours(t: Tables) -> DataFrame:
+    return governance.off_hours(t.events, "ts", "user_id")

@@ -1 +1,239 @@
-"""Queries."""
+"""Queries over graphs and knowledge graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.functions import exprs
+from millrace.operators import graph, knowledge
+from millrace.plans.registry import Tables, query
+from millrace.plans.sqlservice import SqlService
+
+#: A small graph with a cycle and a chain, the same in the queries and in their SQL.
+_EDGES = [(1, 2, 0.5), (2, 3, 0.9), (3, 4, 0.1), (1, 5, 0.7), (4, 1, 0.2), (5, 3, 0.3), (6, 7, 1.0)]
+_VALUES = "(VALUES " + ", ".join(f"({a}, {b}, {w}::DOUBLE)" for a, b, w in _EDGES) + ") AS e (src, dst, w)"
+
+
+def _small(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(_EDGES, "src int, dst int, w double")
+
+
+_WALK = f"""WITH RECURSIVE e AS (SELECT src::VARCHAR AS s, dst::VARCHAR AS t, w FROM {_VALUES}), walk AS (SELECT 0 AS depth, '1' AS node, ['1'] AS path, 0::DOUBLE AS cost
+UNION ALL SELECT depth + 1, e.t, list_append(path, e.t), cost + e.w FROM walk JOIN e ON e.s = walk.node WHERE depth < 3 AND NOT list_contains(path, e.t))"""
+
+
+@query(_WALK + " SELECT depth, node, array_to_string(path, '>') AS path, round(cost, 6) AS cost FROM walk")
+def graph_sql_paths(t: Tables) -> DataFrame:
+    return SqlService(t.spark).paths(_small(t), "1", 3, weight="w").select("depth", "node", F.array_join("path", ">").alias("path"), F.round("cost", 6).alias("cost"))
+
+
+@query(_WALK + " SELECT depth, array_to_string(path, '>') AS path, round(cost, 6) AS cost FROM walk")
+def graph_simple_paths(t: Tables) -> DataFrame:
+    return graph.simple_paths(_small(t), 1, 3, weight="w").select("depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.round("cost", 6).alias("cost"))
+
+
+@query(_WALK + " SELECT array_to_string(path, '>') AS path FROM walk WHERE node = '3' AND depth = (SELECT min(depth) FROM walk WHERE node = '3')")
+def graph_all_shortest(t: Tables) -> DataFrame:
+    return graph.all_shortest_paths(_small(t), 1, 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query("SELECT id, distance::DOUBLE AS distance FROM (VALUES (1, 0.0), (2, 0.5), (5, 0.7), (3, 1.0), (4, 1.1)) AS x (id, distance)")
+def graph_weighted_shortest(t: Tables) -> DataFrame:
+    return graph.shortest_distances(_small(t), t.spark.createDataFrame([(1,)], "id int"), "w").select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT * FROM (VALUES ('1>2>3>4', 4), ('1>5>3>4', 4)) AS x (path, depth)")
+def graph_rings(t: Tables) -> DataFrame:
+    return graph.rings(_small(t), 1, 5).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "depth")
+
+
+@query("SELECT * FROM (VALUES ('1>2>3>4'), ('1>5>3>4')) AS x (path)")
+def graph_rays(t: Tables) -> DataFrame:
+    return graph.rays(_small(t), 1, 5).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query("SELECT * FROM (VALUES (3), (4), (1)) AS x (id)")
+def graph_crosspoints(t: Tables) -> DataFrame:
+    return graph.crosspoints(_small(t), 2, 5, 3)
+
+
+def _trade(t: Tables) -> DataFrame:
+    """Customers and the suppliers of what they ordered: vertices are numbers, suppliers negative."""
+    lines = t.lineitem.select("l_orderkey", "l_suppkey").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return lines.select(F.col("o_custkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")).distinct()
+
+
+_TRADE = "(SELECT DISTINCT o_custkey AS src, -l_suppkey - 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query(f"SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM {_TRADE} UNION ALL SELECT dst, 1, 0 FROM {_TRADE}) GROUP BY id")
+def graph_degrees(t: Tables) -> DataFrame:
+    return graph.degrees(_trade(t))
+
+
+@query(f"WITH RECURSIVE e AS MATERIALIZED {_TRADE}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), k1 AS (SELECT DISTINCT dst AS id FROM b WHERE src = -1), k2 AS (SELECT DISTINCT b.dst AS id FROM b JOIN k1 ON b.src = k1.id) SELECT -1::BIGINT AS id, 0 AS depth UNION ALL SELECT id, 1 FROM k1 UNION ALL SELECT id, 2 FROM k2 WHERE id <> -1 AND id NOT IN (SELECT id FROM k1)")
+def graph_k_neighbours(t: Tables) -> DataFrame:
+    return graph.neighbours(_trade(t), t.spark.createDataFrame([(-1,)], "id bigint"), 2)
+
+
+def _chains(t: Tables) -> DataFrame:
+    """Orders linked to the customer's next one: a chain per customer."""
+    from pyspark.sql.window import Window
+
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return t.orders.select(F.col("o_orderkey").alias("src"), after.alias("dst")).where("dst is not null")
+
+
+@query("SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 1")
+def graph_components(t: Tables) -> DataFrame:
+    return graph.components(_chains(t))
+
+
+def _parts(t: Tables) -> DataFrame:
+    """Nations that share a brand's customers and suppliers: a dense little graph."""
+    return t.customer.select((F.col("c_custkey") % 97).alias("src"), (F.col("c_nationkey") + F.col("c_custkey") % 5 * 25).alias("dst")).where("src <> dst").distinct()
+
+
+_DENSE = "(SELECT DISTINCT c_custkey % 97 AS src, c_nationkey + c_custkey % 5 * 25 AS dst FROM customer WHERE c_custkey % 97 <> c_nationkey + c_custkey % 5 * 25)"
+_BOTH = f"b AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM {_DENSE} UNION ALL SELECT dst, src FROM {_DENSE}))"
+
+
+@query(f"WITH {_BOTH} SELECT x.src AS id, count(*) AS triangles FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN b z ON z.src = x.dst AND z.dst = y.dst GROUP BY x.src")
+def graph_triangles(t: Tables) -> DataFrame:
+    return graph.triangles(_parts(t))
+
+
+def _rank_sql(rounds: int) -> str:
+    steps = [f"WITH e AS MATERIALIZED {_DENSE}, v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS out FROM e GROUP BY src), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v)"]
+    for k in range(1, rounds + 1):
+        p = f"r{k - 1}"
+        steps.append(f"r{k} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE / (SELECT count(*) FROM v) + 0.85 * (coalesce(f.flow, 0) + (SELECT coalesce(sum(rank), 0) FROM {p} WHERE id NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM v)) AS rank FROM v LEFT JOIN (SELECT e.dst AS id, sum(p.rank / o.out) AS flow FROM {p} p JOIN e ON p.id = e.src JOIN o ON o.src = e.src GROUP BY e.dst) f ON f.id = v.id)")
+    return ", ".join(steps) + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query(_rank_sql(6))
+def graph_pagerank(t: Tables) -> DataFrame:
+    return graph.pagerank(_parts(t), 6).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query()
+def graph_label_propagation(t: Tables) -> DataFrame:
+    return graph.label_propagation(_parts(t), 5)
+
+
+@query()
+def graph_k_core(t: Tables) -> DataFrame:
+    return graph.k_core(_parts(t), 12)
+
+
+@query()
+def graph_closeness(t: Tables) -> DataFrame:
+    return graph.closeness(_parts(t))
+
+
+@query()
+def graph_betweenness(t: Tables) -> DataFrame:
+    return graph.betweenness(_parts(t))
+
+
+@query()
+def graph_louvain(t: Tables) -> DataFrame:
+    return graph.louvain(_parts(t), rounds=4)
+
+
+# --- knowledge graphs --------------------------------------------------------------------------------------------------
+
+_NORM = "lower(trim(regexp_replace(name, '\\s+', ' ', 'g')))"
+
+
+@query(f"""SELECT {_NORM} AS norm, arg_min(name, vertex_id) AS name, arg_min(definition, (-coalesce(length(definition), -1), vertex_id)) AS definition, arg_min(entity_type, vertex_id) FILTER (trim(entity_type) <> '') AS type, count(*) AS mentions
+FROM entity_graph GROUP BY 1""")
+def kg_merge_entities(t: Tables) -> DataFrame:
+    rows = t.entity_graph.select(F.col("vertex_id").alias("ord"), F.lit(0).alias("pos"), "name", F.col("entity_type").alias("type"), "definition", F.lit("c").alias("chunk_id"))
+    return knowledge.merge_entities(rows).drop("chunks")
+
+
+@query("""WITH c AS (SELECT doc_id, blob_key, row_number() OVER (PARTITION BY blob_key ORDER BY doc_id) - 1 AS n FROM documents)
+SELECT 'contains_chunk' AS label, blob_key AS src, doc_id::VARCHAR AS dst FROM c UNION ALL SELECT 'next_chunk', a.doc_id::VARCHAR, b.doc_id::VARCHAR FROM c a JOIN c b ON a.blob_key = b.blob_key AND b.n = a.n + 1""")
+def kg_document_graph(t: Tables) -> DataFrame:
+    chunks = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("blob_key").alias("document"), F.col("doc_id").alias("chunk_index"))
+    return knowledge.document_graph(chunks)[1].select("label", "src", "dst")
+
+
+@query("SELECT doc_id::VARCHAR AS id, substr(sha1(text), 1, 16) AS hash FROM documents WHERE text IS NOT NULL AND (n_chars >= 1000 OR source IS NULL)")
+def kg_changed_chunks(t: Tables) -> DataFrame:
+    chunks = t.documents.where("text is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), "n_chars", "source")
+    before = chunks.where("n_chars < 1000 and source is not null").select("id", F.substr(F.sha1(F.col("content").cast("binary")), F.lit(1), F.lit(16)).alias("hash"))
+    return knowledge.changed_chunks(chunks, before).select("id", "hash")
+
+
+_REL = [("a", "b", "works_at"), ("b", "a", "works_at"), ("a", "c", "located_in"), ("c", "a", "located_in"), ("a", "d", "knows"), ("d", "b", "part_of")]
+_KIND = [("a", "Person"), ("b", "organization"), ("c", "location"), ("d", None)]
+
+
+@query("SELECT * REPLACE (weight::DOUBLE AS weight) FROM (VALUES ('a','b','works_at',NULL,1.0), ('b','a','related_to','works_at',0.4), ('a','c','located_in',NULL,1.0), ('c','a','related_to','located_in',0.4), ('a','d','knows',NULL,1.0), ('d','b','part_of',NULL,1.0)) AS x (source, target, type, original_type, weight)")
+def kg_validate_relations(t: Tables) -> DataFrame:
+    return knowledge.validate_relations(t.spark.createDataFrame(_REL, "source string, target string, type string"), t.spark.createDataFrame(_KIND, "id string, type string"))
+
+
+@query("SELECT CASE WHEN regexp_matches(lower(entity_type), 'person|people') THEN 'Person' WHEN regexp_matches(lower(entity_type), 'org|company') THEN 'Organization' WHEN regexp_matches(lower(entity_type), 'place|location') THEN 'Place' ELSE 'Entity' END AS label, count(*) AS n FROM entity_graph GROUP BY 1")
+def kg_route_types(t: Tables) -> DataFrame:
+    rules = [("person|people", "Person"), ("org|company", "Organization"), ("place|location", "Place")]
+    return t.entity_graph.groupBy(knowledge.route(F.col("entity_type"), rules, "Entity").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT coalesce(entity_type, 'none') AS type, count(*) AS n FROM concept_graph GROUP BY 1")
+def kg_type_counts(t: Tables) -> DataFrame:
+    return t.concept_graph.groupBy(F.coalesce("entity_type", F.lit("none")).alias("type")).agg(F.count("*").alias("n"))
+
+
+_MENTION = "(SELECT DISTINCT vertex_id AS id, unnest(source_chunk) AS chunk_id FROM entity_graph)"
+_TOGETHER = f"SELECT DISTINCT a.id AS src, b.id AS dst FROM {_MENTION} a JOIN {_MENTION} b ON a.chunk_id = b.chunk_id AND a.id < b.id"
+
+
+def _mentions(t: Tables) -> DataFrame:
+    return t.entity_graph.select(F.col("vertex_id").alias("id"), F.explode("source_chunk").alias("chunk_id")).distinct()
+
+
+def _together(t: Tables) -> DataFrame:
+    m = _mentions(t)
+    return m.select(F.col("id").alias("src"), "chunk_id").join(m.select(F.col("id").alias("dst"), "chunk_id"), "chunk_id").where("src < dst").select("src", "dst").distinct()
+
+
+@query(_TOGETHER)
+def kg_cooccurrence(t: Tables) -> DataFrame:
+    return _together(t)
+
+
+@query(f"""WITH e AS ({_TOGETHER}), v AS (SELECT DISTINCT vertex_id AS id FROM entity_graph), l AS (SELECT src AS id FROM e UNION SELECT dst FROM e)
+SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM v WHERE id NOT IN (SELECT id FROM l))::DOUBLE / (SELECT count(*) FROM v), 6) AS orphan_rate, round(2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM v), 6)::DOUBLE AS avg_degree""")
+def kg_quality(t: Tables) -> DataFrame:
+    return knowledge.graph_quality(t.entity_graph.select(F.col("vertex_id").alias("id")), _together(t))
+
+
+@query(f"WITH e AS ({_TOGETHER}), n AS (SELECT src AS id, 0 AS way, dst AS other FROM e UNION ALL SELECT dst, 1, src FROM e) SELECT id, way, other, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY way, other) AS place FROM n) WHERE place <= 6")
+def kg_neighbour_context(t: Tables) -> DataFrame:
+    anchors = t.entity_graph.select(F.col("vertex_id").alias("id"))
+    return knowledge.neighbour_context(anchors, _together(t).withColumn("label", F.lit("together"))).select("id", "way", "other", "place")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95""")
+def kg_similar_entities(t: Tables) -> DataFrame:
+    found = knowledge.similar_entities(t.embeddings.select(F.col("vec_id").alias("norm"), "embedding"), least=0.95, planes=5, tables=30)
+    return found.select("a", "b", F.round("cosine", 5).alias("cosine"))
+
+
+@query()
+def kg_find_entities(t: Tables) -> DataFrame:
+    return knowledge.find_entities(t.entity_graph.select("name").distinct(), "Which office handles the checksum scans?", limit=20)
+
+
+@query()
+def kg_resolved(t: Tables) -> DataFrame:
+    """Names of the same letters: merged through components, the longest spelling stands for all."""
+    names = t.entity_graph.select(exprs.normalized_name(F.col("name")).alias("norm")).distinct()
+    letters = F.array_join(F.array_sort(F.split(F.regexp_replace("norm", r"[^\p{L}]", ""), "")), "")
+    keyed = names.withColumn("letters", letters)
+    links = keyed.select(F.col("norm").alias("src"), "letters").join(keyed.select(F.col("norm").alias("dst"), "letters"), "letters").where("src < dst").select("src", "dst")
+    return knowledge.canonical_names(names, graph.components(links))

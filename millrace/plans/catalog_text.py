@@ -60,7 +60,7 @@ def json_and_dates(t: Tables) -> DataFrame:
 
 
 @query("""SELECT c_custkey, regexp_replace(c_name, '[^\\n]', '*', 'g') AS redacted, CASE WHEN length(c_name) <= 4 THEN '****' ELSE left(c_name, 2) || repeat('*', length(c_name) - 4) || right(c_name, 2) END AS partial,
-substr(sha256(unhex('3731ae3a3d3f7d5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c') || unhex(sha256(unhex('5d5bc450575517363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636') || c_name::BLOB))), 1, 32) AS hashed, NULL::VARCHAR AS nothing FROM customer""")
+substr(sha256(unhex('3731ae3a3d3f7d5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c') || unhex(sha256(unhex('5d5bc450575517363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636') || encode(c_name)))), 1, 32) AS hashed, NULL::VARCHAR AS nothing FROM customer""")
 def mask_values(t: Tables) -> DataFrame:
     name = F.col("c_name")
     return t.customer.select("c_custkey", exprs.mask(name, "redact").alias("redacted"), exprs.mask(name, "partial").alias("partial"), exprs.mask(name, "hash", bytes.fromhex("6b6df266616321")).alias("hashed"), exprs.mask(name, "nullify").alias("nothing"))
