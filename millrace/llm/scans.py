@@ -54,14 +54,42 @@ def _skeletons(word: Column) -> Column:
 def _records(records: DataFrame, config: DataFrame) -> DataFrame:
     """``id``, ``text``, ``filled``: whether lines were read from pages, as far as source and line lengths tell."""
     known = with_settings(records.select("id", "source", "text_content").where("id is not null and text_content is not null"), config, "pdf_parse_mode")
-    widths = F.transform(F.split("text_content", "\n"), lambda x: F.char_length(x))
-    filled = (F.lower(F.trim("cfg_pdf_parse_mode")) != "text") & (F.size(widths) > 3) & (F.array_max(widths) <= WIDEST)
+    text = F.col("text_content")
+    filled = (F.lower(F.trim("cfg_pdf_parse_mode")) != "text") & text.rlike(r"\n[^\n]*\n[^\n]*\n") & ~text.rlike(rf"(?:^|\n)[^\n]{{{WIDEST + 1}}}")
     return known.select("id", F.col("text_content").alias("text"), filled.alias("filled"))
 
 
-def _lexicon(clean: DataFrame) -> DataFrame:
+def _counted(clean: DataFrame) -> DataFrame:
+    """What stands between blanks in clean text, in lower case, and Han look-alikes with their neighbours (behind a mark): ``token``, ``n``.
+
+    One pass over the text; it is cut at blanks, which is cheap, and words are found in the distinct tokens afterwards.
+    """
+    text = F.lower("text")
+    # a Han character takes two bytes more than it counts: most texts needn't be looked through for them
+    han = (F.octet_length("text") - F.char_length("text") >= 2) & F.col("text").rlike(HAN)
+    latin = F.when(han, F.regexp_replace(text, "[㐀-鿿，。、；：！？（）]+", " ")).otherwise(text)
+    tokens = F.split(F.replace(latin, F.lit("\n"), F.lit(" ")), " ")
+    triples = F.when(han, F.transform(_triples(F.col("text")), lambda x: F.concat(F.lit(MARK), x))).otherwise(F.array().cast("array<string>"))
+    return clean.select(F.explode(F.concat(tokens, triples)).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _lexicon(counted: DataFrame) -> DataFrame:
     """Words of clean text with their counts: ``word`` (lower case), ``n``."""
-    return clean.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = counted.where(~F.col("token").startswith(MARK)).select(F.explode(F.regexp_extract_all("token", F.lit(WORD), F.lit(0))).alias("word"), "n")
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+HAN, MARK = "[㐀-鿿]", "\x01"
+
+
+def _han_pairs() -> list[tuple[str, str]]:
+    return [(a, b) for x in HAN_LOOKALIKES.split() for a, b in (x, x[::-1])]
+
+
+def _triples(text: Column) -> Column:
+    """Han characters that have look-alikes, each with the characters on both sides."""
+    either = "".join(sorted({a for a, _ in _han_pairs()}))
+    return F.regexp_extract_all(text, F.lit(f"(?=([^\\n][{either}][^\\n]))"), F.lit(1))
 
 
 def _layout(scanned: DataFrame) -> DataFrame:
@@ -77,8 +105,10 @@ def _layout(scanned: DataFrame) -> DataFrame:
         .withColumn("n", F.char_length("body"))
         .withColumn("number", F.when(F.col("n") > 0, F.regexp_extract("body", number, 1)))
         .withColumn("plain", F.col("body").rlike(r"^[0-9]{1,4}$") & ~F.col("raw").rlike(r"^\f? {2,}"))
-        .withColumn("key", F.regexp_replace(skeleton(F.regexp_replace("body", r"[0-9]{2,}|^[0-9]+\s|\s[0-9]+$", " ")), r"[^\p{L}…]+", ""))
+        .withColumn("title", ~F.col("body").rlike(r"[.!?。！？,;]$|^\p{Ll}|^$"))
+        .withColumn("key", F.when(F.col("title"), F.regexp_replace(skeleton(F.regexp_replace("body", r"[0-9]{2,}|^[0-9]+\s|\s[0-9]+$", " ")), r"[^\p{L}…]+", "")))
     )
+    lines = lines.withColumn("indented", F.col("raw").rlike(r"^\f?(?: {2,}|\t|　)")).drop("raw")
     lines = lines.withColumn("number", F.when(F.col("number") != "", F.col("number"))).withColumn("value", F.when(~F.col("number").rlike(roman), F.col("number").cast("int")))
     near = lambda c, k: F.lag(c, k).over(order) if k > 0 else F.lead(c, -k).over(order)
     lines = lines.withColumns({
@@ -88,11 +118,12 @@ def _layout(scanned: DataFrame) -> DataFrame:
         "in_block": F.coalesce(near("plain", 1), F.lit(False)) | F.coalesce(near("plain", -1), F.lit(False)),
         "next_ff": F.coalesce(near("ff", -1), F.lit(False)),
     })
-    twice = F.col("number").isNull() & (F.char_length("key") >= 4) & (F.col("alike") > 1) & ~F.col("body").rlike(r"[.!?。！？,;]$|^\p{Ll}")
+    twice = F.col("number").isNull() & F.coalesce(F.char_length("key") >= 4, F.lit(False)) & (F.col("alike") > 1)
     lines = lines.withColumn("twice", twice).withColumn("width", F.max(F.when(F.col("number").isNull() & ~F.col("twice"), F.col("n"))).over(record))
     # a line of the text leaves no room for the next line's first word
     held = F.when((F.col("n") > 0) & F.col("number").isNull() & ~F.col("twice"), F.col("body"))
-    lines = lines.withColumn("after", F.first(held, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    # no more than a few blank lines, numbers and headers stand between two lines of the text
+    lines = lines.withColumn("after", F.first(held, ignorenulls=True).over(order.rowsBetween(1, 12)))
     word = F.least(F.char_length(F.regexp_extract("after", r"^(?:[㐀-鿿]|\S+)", 0)), F.lit(20))
     lines = lines.withColumn("unfilled", F.when(F.col("after").isNull(), F.col("n") <= 0.85 * F.col("width")).otherwise(F.col("n") + 1 + word <= F.col("width")))
     edge = F.col("ff") | F.col("next_ff") | (F.col("line_no") == F.col("first")) | (F.col("line_no") == F.col("last"))
@@ -102,9 +133,9 @@ def _layout(scanned: DataFrame) -> DataFrame:
     lines = lines.withColumn("values", F.when(single, values))
     counted = F.exists("values", lambda v: (F.abs(v["value"] - F.col("value")) == 1) & ((v["line_no"] > F.col("line_no")) == (v["value"] > F.col("value"))) & (F.abs(v["line_no"] - F.col("line_no")) >= 8))
     # a line that stands once must begin or end as the headers of several records do
-    bare = skeleton(F.regexp_replace("body", r"[0-9|]+|[-–] rev.*$", " "))
+    bare = F.when(F.col("title") & (F.col("repeated") | F.col("unfilled")), skeleton(F.regexp_replace("body", r"[0-9|]+|[-–] rev.*$", " ")))
     lines = lines.withColumn("opens", F.regexp_extract(bare, r"^\W*([㐀-鿿]|\w+)", 1)).withColumn("closes", F.regexp_extract(bare, r"([㐀-鿿]{1,2}|\w+)\W*$", 1))
-    lines = materialize(lines.drop("key", "alike", "twice"), "layout")
+    lines = materialize(lines.drop("key", "alike", "twice", "title"), "layout")
     beside = F.coalesce(near("repeated", 1), F.lit(False)) | F.coalesce(near("repeated", -1), F.lit(False))
     is_number = F.col("number").isNotNull() & F.when(F.col("plain"), single & (edge | beside | F.coalesce(counted, F.lit(False)))).otherwise(True)
     lines = lines.withColumn("is_number", F.coalesce(is_number, F.lit(False)))
@@ -121,7 +152,7 @@ def _layout(scanned: DataFrame) -> DataFrame:
     lines = lines.withColumn("marks", F.max(F.col("ff") | F.col("is_number") | F.col("repeated")).over(record))
     header = (F.col("repeated") | F.col("lone")) & (F.col("marks") | F.col("body").rlike(r"  (?:\|  )?[0-9]+$|^[0-9]+  "))
     noise = F.when(F.col("is_number"), "page_number").when(header, "header")
-    return lines.select("id", "line_no", "body", F.col("raw").rlike(r"^\f?(?: {2,}|\t|　)").alias("indented"), noise.alias("noise"), "marks")
+    return lines.select("id", "line_no", "body", "indented", noise.alias("noise"), "marks")
 
 
 def _words(lines: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,34 +189,40 @@ def _words(lines: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _misread(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Words of scanned lines that clean text doesn't know as they are, with the form it knows: ``word``, ``form``, ``n``; a row per possible form."""
-    seen = words.where(F.col("word").rlike(r"\p{L}.*[\p{L}\p{N}|$]|[\p{N}|$].*\p{L}")).select(F.lower("word").alias("word")).distinct()
+    seen = words.where(~F.col("word").rlike(HAN) & F.col("word").rlike(r"\p{L}.*[\p{L}\p{N}|$]|[\p{N}|$].*\p{L}")).select(F.lower("word").alias("word")).distinct()
     counted = seen.join(lexicon.select("word", F.col("n").alias("own")), "word", "left").withColumn("s", _skeletons(F.col("word")))
     forms = lexicon.where("n > 2").select(_skeletons(F.col("word")).alias("s"), F.col("word").alias("form"), "n")
     met = counted.join(forms, "s").where((F.col("form") != F.col("word")) & (F.coalesce("own", F.lit(0)) * RATIO < F.col("n")))
-    return met.where(F.char_length("word") > 2).select("word", "form", "n").distinct()
+    met = met.where(F.char_length("word") > 2).select("word", "form", "n").distinct()
+    # forms so much rarer than the best one of the word aren't what is meant, whatever stands before it
+    return met.withColumn("best", F.max("n").over(Window.partitionBy("word"))).where(F.col("n") * RATIO >= F.col("best")).drop("best")
 
 
-def _misread_han(lines: DataFrame, clean: DataFrame) -> DataFrame:
+def _misread_han(lines: DataFrame, known: DataFrame) -> DataFrame:
     """Lines with a Han character between neighbours that clean text never has around it but has around its look-alike: ``id``, ``line_no``, ``triple``, ``other``."""
-    pairs = [(a, b) for x in HAN_LOOKALIKES.split() for a, b in (x, x[::-1])]
-    either = "".join(sorted({a for a, _ in pairs}))
-    triples = F.regexp_extract_all(F.col("text"), F.lit(f"(?=([^\\n][{either}][^\\n]))"), F.lit(1))
-    known = materialize(clean.where(F.col("text").rlike("[㐀-鿿]")).select(F.explode(triples).alias("triple")).groupBy("triple").agg(F.count("*").alias("n")), "triples")
     order = Window.partitionBy("id").orderBy("line_no")
     body = lines.where("noise is null and body <> ''")
     around = F.concat(F.coalesce(F.right(F.lag("body").over(order), F.lit(1)), F.lit("")), "body", F.coalesce(F.left(F.lead("body").over(order), F.lit(1)), F.lit("")))
-    met = body.select("id", "line_no", around.alias("text")).where(F.col("text").rlike("[㐀-鿿]")).select("id", "line_no", F.explode(triples).alias("triple"))
-    others = F.create_map(*[x for a in either for x in (F.lit(a), F.array(*[F.lit(b) for c, b in pairs if c == a]))])
+    met = body.select("id", "line_no", around.alias("text")).where(F.col("text").rlike(HAN)).select("id", "line_no", F.explode(_triples(F.col("text"))).alias("triple"))
+    like: dict[str, list[str]] = {}
+    for one, other in _han_pairs():
+        like.setdefault(one, []).append(other)
+    others = F.create_map(*[x for k, v in like.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
     met = met.join(known.select("triple", F.col("n").alias("own")), "triple", "left").withColumn("like", F.explode(others[F.substr("triple", F.lit(2), F.lit(1))]))
     met = met.withColumn("other", F.concat(F.substr("triple", F.lit(1), F.lit(1)), "like", F.substr("triple", F.lit(3), F.lit(1))))
     return met.join(known.select(F.col("triple").alias("other"), "n"), "other").where(F.coalesce("own", F.lit(0)) * RATIO < F.col("n")).where("n > 2").groupBy("id", "line_no", "triple").agg(F.max_by("other", "n").alias("other"))
 
 
 #: Digits or foreign letters within a word of small letters are misread whether or not the word is known.
-MIXED = r"^(?=.*\p{Ll}{2})(?!.*-)(?:.*\p{Ll}[0-9|$].*|.*[0-9|$]\p{Ll}{2}.*)$|^(?=.*[a-z]).*[αοеаосрѕτενﬁﬂ].*$|^[A-Z0-9]*[$|][A-Z]*-[0-9$]+$|^(?=.{2}-)(?:[A-Z][0-9]|[0-9][A-Z])-[0-9]{2,4}$"
+FOREIGN = "αοеаосрѕτενﬁﬂ"
+MIXED = r"^(?=.*\p{Ll}{2})(?!.*-)(?:.*\p{Ll}[0-9|$].*|.*[0-9|$]\p{Ll}{2}.*)$|^(?=.*[a-z]).*[" + FOREIGN + r"].*$|^[A-Z0-9]*[$|][A-Z]*-[0-9$]+$|^(?=.{2}-)(?:[A-Z][0-9]|[0-9][A-Z])-[0-9]{2,4}$"
 ORDINAL = r"(?i)^[0-9]+(?:st|nd|rd|th|er|re|ème|e|º|ª|km|kg|mm|cm|ms|mb|gb|x|h|min|am|pm|s)$"
 
 
+#: So many forms with a rival are looked for one by one; beyond that they are joined.
+SOME = 1000
+
+
 def _chosen(words: DataFrame, lexicon: DataFrame, clean: DataFrame) -> DataFrame:
     """The wrong words of the lines with the form meant: ``id``, ``line_no``, ``next_no``, ``at``, ``lower``, ``form``.
 
@@ -194,11 +231,22 @@ def _chosen(words: DataFrame, lexicon: DataFrame, clean: DataFrame) -> DataFrame
     """
     forms = materialize(_misread(words, lexicon), "forms")
     several = forms.groupBy("word").agg(F.count("*").alias("k")).where("k > 1").select("word")
+    if several.isEmpty():  # nothing to choose: the text needn't be read once more
+        low = words.withColumn("lower", F.lower("word")).join(forms.withColumnRenamed("word", "lower"), "lower")
+        return low.select("id", "line_no", "next_no", "at", "lower", "before", "form")
     asked = forms.join(several, "word", "left_semi").select("form").distinct()
+    some = [r.form for r in asked.limit(SOME + 1).toLocalIterator()]
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
     listed = clean.select(F.explode(F.array(tokens)).alias("tokens"))  # a row as it was, but the words are found once
     pairs = listed.select(F.explode(F.transform("tokens", lambda w, k: F.struct(F.get("tokens", k - 1).alias("before"), w.alias("form")))).alias("p")).select("p.*")
-    follow = pairs.join(asked, "form", "left_semi").groupBy("before", "form").agg(F.count("*").alias("together"))
+    if len(some) <= SOME:  # few enough to be looked for in place, before any row is made of a pair
+        listed = clean.select(F.explode(F.array(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " "))).alias("tokens"))
+        listed = listed.select(F.explode(F.array(F.transform("tokens", lambda w: F.btrim(w, F.lit(".,;:!?()[]\"“”«»*#"))))).alias("tokens"))
+        mine = F.filter(F.transform("tokens", lambda w, k: F.when(w.isin(*some), F.struct(F.get("tokens", k - 1).alias("before"), w.alias("form")))), lambda p: p.isNotNull())
+        pairs = listed.select(F.explode(mine).alias("p")).select("p.*")
+    else:
+        pairs = pairs.join(asked, "form", "left_semi")
+    follow = pairs.groupBy("before", "form").agg(F.count("*").alias("together"))
     low = words.withColumn("lower", F.lower("word")).join(forms.withColumnRenamed("word", "lower"), "lower").join(follow, ["before", "form"], "left")
     best = F.max_by("form", F.struct(F.coalesce("together", F.lit(0)), "n", "form")).alias("form")
     return low.groupBy("id", "line_no", "next_no", "at", "lower", "before").agg(best)
@@ -210,7 +258,9 @@ class _Pages:
     def __init__(self, records: DataFrame, config: DataFrame) -> None:
         known = _records(records, config)
         self.clean = known.where("not filled")
-        self.lexicon = materialize(_lexicon(self.clean), "lexicon")
+        counted = materialize(_counted(self.clean), "counted")
+        self.lexicon = materialize(_lexicon(counted), "lexicon")
+        self.triples = counted.where(F.col("token").startswith(MARK)).select(F.substr("token", F.lit(2)).alias("triple"), "n")
         self.lines = materialize(_layout(known.where("filled").groupBy("id").agg(F.max("text").alias("text"))), "lines")
         self.breaks, words = _words(self.lines, self.lexicon)
         self.words = materialize(words, "words")
@@ -228,8 +278,8 @@ def find_noise(records: DataFrame, config: DataFrame) -> DataFrame:
     low, known_wrong = pages.words, pages.wrong
     same = F.aggregate(F.sequence(F.lit(1), F.least(F.char_length("lower"), F.char_length("form"))), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.substr(F.col("lower"), i, F.lit(1)) == F.substr(F.col("form"), i, F.lit(1))), i).otherwise(k))
     spot = known_wrong.select("id", F.when(F.col("at").isNull() | (same < F.col("at")), F.col("line_no")).otherwise(F.col("next_no")).alias("line_no"))
-    mixed = low.where(F.col("word").rlike(MIXED) & ~F.col("word").rlike(ORDINAL)).select("id", "line_no")
-    misread = spot.unionByName(mixed).unionByName(_misread_han(lines, pages.clean).select("id", "line_no")).distinct().withColumn("noise_kind", F.lit("misread"))
+    mixed = low.where(F.col("word").rlike(f"[0-9|${FOREIGN}]") & F.col("word").rlike(MIXED) & ~F.col("word").rlike(ORDINAL)).select("id", "line_no")
+    misread = spot.unionByName(mixed).unionByName(_misread_han(lines, pages.triples).select("id", "line_no")).distinct().withColumn("noise_kind", F.lit("misread"))
     layout = lines.where("noise is not null").select("id", "line_no", F.col("noise").alias("noise_kind"))
     broken = hyphens.select("id", "line_no").distinct().withColumn("noise_kind", F.lit("hyphen"))
     return layout.unionByName(broken).unionByName(misread)
@@ -260,7 +310,7 @@ def repair(records: DataFrame, config: DataFrame) -> DataFrame:
     paragraphs = lines.groupBy("id", "para_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", glued.alias("part")))), lambda x: x["part"]), "").alias("joined"))
     # a record's wrong words are as many as its lines at most have
     meant = pages.wrong.select("id", "lower", "form").groupBy("id", "lower").agg(F.max("form").alias("form")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("lower", "form"))).alias("meant"))
-    han = _misread_han(pages.lines, pages.clean).groupBy("id").agg(F.collect_set(F.struct("triple", "other")).alias("han"))
+    han = _misread_han(pages.lines, pages.triples).groupBy("id").agg(F.collect_set(F.struct("triple", "other")).alias("han"))
     paragraphs = paragraphs.join(han, "id", "left")
     restored = F.aggregate("han", F.col("joined"), lambda text, x: F.replace(text, x["triple"], x["other"]))
     paragraphs = paragraphs.withColumn("joined", F.coalesce(restored, "joined"))
