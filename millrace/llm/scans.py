@@ -2,7 +2,7 @@
 
 Running headers repeat when digits are masked and look-alike letters fall together; page numbers stand at the edges of
 pages and count up. Words are grouped by a skeleton that maps look-alike glyphs to one letter; within a group, forms that
-clean text doesn't know give way to the form it knows, the one that also follows the same word there first. Broken words
+clean text doesn't know give way to the form it knows, first the one that follows the same word elsewhere. Broken words
 are joined unless clean text knows them with a hyphen, and windows over the lines put paragraphs together.
 """
 
@@ -147,7 +147,9 @@ def _layout(scanned: DataFrame) -> DataFrame:
     lines = lines.withColumn("lone", short & (edge | beside | F.coalesce(broken, F.lit(False))))
     headers = lines.where("repeated").select("id", "opens", "closes")
     often = lambda c: headers.groupBy(c).agg(F.countDistinct("id").alias("records")).where("records >= 2").select(F.col(c).alias(f"known_{c}"))
-    lines = lines.join(often("opens"), F.col("opens") == F.col("known_opens"), "left").join(often("closes"), F.col("closes") == F.col("known_closes"), "left")
+    # most lines have neither word; a key of their record spreads them over the tasks
+    spread = lambda c: F.coalesce(F.col(c), F.concat(F.lit(MARK), "id"))
+    lines = lines.join(often("opens"), spread("opens") == F.col("known_opens"), "left").join(often("closes"), spread("closes") == F.col("known_closes"), "left")
     lines = lines.withColumn("lone", F.col("lone") & (F.col("known_opens").isNotNull() | F.col("known_closes").isNotNull() | F.col("body").endswith("…")))
     lines = lines.withColumn("marks", F.max(F.col("ff") | F.col("is_number") | F.col("repeated")).over(record))
     header = (F.col("repeated") | F.col("lone")) & (F.col("marks") | F.col("body").rlike(r"  (?:\|  )?[0-9]+$|^[0-9]+  "))
@@ -219,15 +221,11 @@ MIXED = r"^(?=.*\p{Ll}{2})(?!.*-)(?:.*\p{Ll}[0-9|$].*|.*[0-9|$]\p{Ll}{2}.*)$|^(?
 ORDINAL = r"(?i)^[0-9]+(?:st|nd|rd|th|er|re|ème|e|º|ª|km|kg|mm|cm|ms|mb|gb|x|h|min|am|pm|s)$"
 
 
-#: So many forms with a rival are looked for one by one; beyond that they are joined.
-SOME = 1000
-
-
-def _chosen(words: DataFrame, lexicon: DataFrame, clean: DataFrame) -> DataFrame:
+def _chosen(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The wrong words of the lines with the form meant: ``id``, ``line_no``, ``next_no``, ``at``, ``lower``, ``form``.
 
-    Where a word may stand for several forms, the one that clean text has most often after the same word is meant, then
-    the most frequent one.
+    Where a word may stand for several forms, the one that stands most often after the same word in all scanned lines is
+    meant, then the most frequent one.
     """
     forms = materialize(_misread(words, lexicon), "forms")
     several = forms.groupBy("word").agg(F.count("*").alias("k")).where("k > 1").select("word")
@@ -235,18 +233,7 @@ def _chosen(words: DataFrame, lexicon: DataFrame, clean: DataFrame) -> DataFrame
         low = words.withColumn("lower", F.lower("word")).join(forms.withColumnRenamed("word", "lower"), "lower")
         return low.select("id", "line_no", "next_no", "at", "lower", "before", "form")
     asked = forms.join(several, "word", "left_semi").select("form").distinct()
-    some = [r.form for r in asked.limit(SOME + 1).toLocalIterator()]
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    listed = clean.select(F.explode(F.array(tokens)).alias("tokens"))  # a row as it was, but the words are found once
-    pairs = listed.select(F.explode(F.transform("tokens", lambda w, k: F.struct(F.get("tokens", k - 1).alias("before"), w.alias("form")))).alias("p")).select("p.*")
-    if len(some) <= SOME:  # few enough to be looked for in place, before any row is made of a pair
-        listed = clean.select(F.explode(F.array(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " "))).alias("tokens"))
-        listed = listed.select(F.explode(F.array(F.transform("tokens", lambda w: F.btrim(w, F.lit(".,;:!?()[]\"“”«»*#"))))).alias("tokens"))
-        mine = F.filter(F.transform("tokens", lambda w, k: F.when(w.isin(*some), F.struct(F.get("tokens", k - 1).alias("before"), w.alias("form")))), lambda p: p.isNotNull())
-        pairs = listed.select(F.explode(mine).alias("p")).select("p.*")
-    else:
-        pairs = pairs.join(asked, "form", "left_semi")
-    follow = pairs.groupBy("before", "form").agg(F.count("*").alias("together"))
+    follow = words.select("before", F.lower("word").alias("form")).join(asked, "form", "left_semi").groupBy("before", "form").agg(F.count("*").alias("together"))
     low = words.withColumn("lower", F.lower("word")).join(forms.withColumnRenamed("word", "lower"), "lower").join(follow, ["before", "form"], "left")
     best = F.max_by("form", F.struct(F.coalesce("together", F.lit(0)), "n", "form")).alias("form")
     return low.groupBy("id", "line_no", "next_no", "at", "lower", "before").agg(best)
@@ -257,14 +244,13 @@ class _Pages:
 
     def __init__(self, records: DataFrame, config: DataFrame) -> None:
         known = _records(records, config)
-        self.clean = known.where("not filled")
-        counted = materialize(_counted(self.clean), "counted")
+        counted = materialize(_counted(known.where("not filled")), "counted")
         self.lexicon = materialize(_lexicon(counted), "lexicon")
         self.triples = counted.where(F.col("token").startswith(MARK)).select(F.substr("token", F.lit(2)).alias("triple"), "n")
         self.lines = materialize(_layout(known.where("filled").groupBy("id").agg(F.max("text").alias("text"))), "lines")
         self.breaks, words = _words(self.lines, self.lexicon)
         self.words = materialize(words, "words")
-        self.wrong = _chosen(self.words, self.lexicon, self.clean)
+        self.wrong = _chosen(self.words, self.lexicon)
 
 
 def find_noise(records: DataFrame, config: DataFrame) -> DataFrame:
