@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import exprs
-from millrace.operators import chunking, dedup, quality
+from millrace.operators import chunking, dedup, models, quality
 from millrace.operators.transforms import apply_transforms, clean
 from millrace.plans.registry import Tables, query
 
@@ -181,3 +181,18 @@ def chunk_recursive(t: Tables) -> DataFrame:
 @query("SELECT doc_id, CAST(0 AS BIGINT) AS chunk_index, trim(text) AS text FROM documents WHERE trim(text) <> ''")
 def chunk_pages(t: Tables) -> DataFrame:
     return chunking.chunk(t.documents.select("doc_id", F.lit(1).alias("page_number"), "text"), "page").drop("page_number")
+
+
+# --- model columns ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, text IS NULL AS missing, CASE WHEN text IS NOT NULL THEN 1.0::DOUBLE END AS length FROM documents")
+def embed_texts(t: Tables) -> DataFrame:
+    made = models.embed(t.documents.select("doc_id", "text"), "text", "vector", lambda: models.hashing_encoder(32), 32)
+    return made.select("doc_id", F.col("vector").isNull().alias("missing"), F.round(F.sqrt(exprs.dot(F.col("vector"), F.col("vector"))), 3).alias("length"))
+
+
+@query("SELECT CASE WHEN regexp_matches(text, '(?i)\\b(court|statutory)\\b') THEN 'law' WHEN regexp_matches(text, '(?i)\\b(tender|bid)\\b') THEN 'procurement' ELSE 'general' END AS label, count(*) AS n FROM documents GROUP BY 1")
+def route_documents(t: Tables) -> DataFrame:
+    label = models.classify_by_words(F.col("text"), [("law", ["court", "statutory"]), ("procurement", ["tender", "bid"])])
+    return t.documents.groupBy(label.alias("label")).agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ import hashlib
 import json
 import threading
 import time
+import uuid
 from collections import OrderedDict
 from collections.abc import Mapping
 
@@ -40,6 +41,18 @@ class SqlService:
         """A single SELECT or WITH, without a limit of ours."""
         return self._run(check_sql(sql, joins=self.joins, ctes=True), tables)
 
+    def within(self, seconds: float, df: DataFrame) -> list:
+        """The rows of a query whose Spark jobs are cancelled when they take longer than that."""
+        tag = f"within-{uuid.uuid4().hex}"
+        self.spark.addTag(tag)
+        timer = threading.Timer(seconds, lambda: self.spark.interruptTag(tag))
+        timer.start()
+        try:
+            return df.collect()
+        finally:
+            timer.cancel()
+            self.spark.removeTag(tag)
+
     def explain(self, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
         """The plan's lines: ``line_no``, ``line``."""
         query = check_sql(sql, joins=self.joins, ctes=True)
