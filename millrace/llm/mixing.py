@@ -107,4 +107,4 @@ def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, v
     )
     report = _rates(sizes, targets, total).select("source_name", "target_share", "max_repeats", F.round("rate", 6).alias("rate")).join(got, "source_name", "left")
     report = report.fillna(0, ["tokens", "documents_used", "copies", "most_repeats"])
-    return report.withColumn("actual_share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), 6))  # one row per target
+    return report.withColumn("actual_share", F.round(F.coalesce(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy())), F.lit(0.0)), 6))  # one row per target
