@@ -26,23 +26,34 @@ _token = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
 _quoted = re.compile(r"`[^`\n]*`")
 
 
+_known: dict[str, int] = {}
+
+
+def _code(word: str) -> int:
+    """A word's hash and kind (0 begins with a capital, 1 doesn't, 2 Han), kept for the words a task meets again and again."""
+    kind = 2 if "㐀" <= word <= "鿿" else int(word[0].islower())
+    found = 1 << 40 | zlib.crc32(word.lower().encode()) << 2 | kind
+    if len(_known) < 500_000:
+        _known[word] = found
+    return found
+
+
 def _features(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words and word pairs of all sentences, and for each its sentence.
 
     Words count in lower case. Pairs are of two words that stand in lower case side by side, or of two Han characters
     (which don't count alone); digits don't count.
     """
-    crc, findall = zlib.crc32, _token.findall
+    get, findall = _known.get, _token.findall
     codes: list[int] = []
-    lower: list[int] = []
     counts = np.zeros(len(sentences), dtype=np.int64)
     for k, sentence in enumerate(sentences):
         words = findall(sentence)
         counts[k] = len(words)
-        codes += [crc(w.lower().encode()) for w in words]
-        lower += [2 if "㐀" <= w <= "鿿" else w[0].islower() for w in words]
+        codes += [get(w) or _code(w) for w in words]
     owner = np.repeat(np.arange(len(sentences)), counts)
-    one, kind = np.array(codes, dtype=np.uint64), np.array(lower, dtype=np.int8)
+    both = np.array(codes, dtype=np.uint64)
+    one, kind = (both >> np.uint64(2)) & np.uint64(0xFFFFFFFF), (both & np.uint64(3)).astype(np.int8)
     if not len(one):
         return np.zeros(0, np.int64), owner
     pair = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xBF58476D1CE4E5B9)
