@@ -81,7 +81,7 @@ def html_text(html: Column) -> Column:
     found = F.regexp_replace(found, r"<[^>]+>", " ")
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         found = F.replace(found, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(F.regexp_replace(found, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(found, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 # --- numbers and types ------------------------------------------------------------------------------------------------

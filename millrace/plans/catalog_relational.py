@@ -57,7 +57,7 @@ def sql_join_many(t: Tables) -> DataFrame:
 
 
 _CTE = """WITH per AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey)
-SELECT n, count(*) AS customers, round(avg(total), 2) AS avg_total FROM per WHERE total > (SELECT avg(total) FROM per) GROUP BY n"""
+SELECT n, count(*) AS customers, round(avg(total), 4) AS avg_total FROM per WHERE total > (SELECT avg(total) FROM per) GROUP BY n"""
 
 
 @query(_CTE)

@@ -94,7 +94,7 @@ class SqlService:
             raise Rejected(f"more than {budget} rows")
         path = f"{self._views()}/{check_name(name)}"
         df.write.mode("overwrite").parquet(f"{path}/data")
-        now = time.time() if now is None else now
+        now = time.time() if now is None else float(now)
         record = [(name, sql, now, now + ttl_s, self.spark.read.parquet(f"{path}/data").count())]
         self.spark.createDataFrame(record, "name string, query string, created double, expires double, num_rows bigint").coalesce(1).write.mode("overwrite").json(f"{path}/record")
         return self.spark.read.parquet(f"{path}/data")

@@ -21,10 +21,13 @@ from millrace.operators.guards import Rejected, check_sql
 TYPES = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parquet", ".html": "text", ".htm": "text", ".md": "text", ".txt": "text"}
 
 #: The columns of the unified multimodal table.
-UNIFIED = T._parse_datatype_string(
-    "id string, modality string, source string, created_at timestamp, filename string, text_content string, image_data binary, image_thumbnail binary, image_preview binary, image_width int, image_height int, "
-    "exif_make string, exif_model string, exif_gps_lat double, exif_gps_lon double, exif_capture_time string, video_data binary, keyframe_count int, video_duration_ms bigint, text_embedding array<float>"
-)
+_S, _B, _I, _D = T.StringType(), T.BinaryType(), T.IntegerType(), T.DoubleType()
+UNIFIED = T.StructType(
+    [T.StructField(n, k) for n, k in (
+        ("id", _S), ("modality", _S), ("source", _S), ("created_at", T.TimestampType()), ("filename", _S), ("text_content", _S), ("image_data", _B), ("image_thumbnail", _B), ("image_preview", _B), ("image_width", _I), ("image_height", _I),
+        ("exif_make", _S), ("exif_model", _S), ("exif_gps_lat", _D), ("exif_gps_lon", _D), ("exif_capture_time", _S), ("video_data", _B), ("keyframe_count", _I), ("video_duration_ms", T.LongType()), ("text_embedding", T.ArrayType(T.FloatType())),
+    )]
+)
 GROUPS = {
     "text": ["text_content", "text_embedding"], "image": ["image_data", "image_thumbnail", "image_preview", "image_width", "image_height", "exif_make", "exif_model", "exif_gps_lat", "exif_gps_lon", "exif_capture_time"],
     "video": ["video_data", "keyframe_count", "video_duration_ms"],
