@@ -148,6 +148,12 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, keep: in
     return ranks
 
 
+def _mark(links: DataFrame) -> tuple:
+    """A row that changes when the set of links does."""
+    h = F.xxhash64("src", "dst")
+    return tuple(links.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(20,0)")), F.sum((F.col("src") != F.col("dst")).cast("int"))).first())
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``id``, ``component`` (its least id): weakly connected, by alternating large and small stars.
 
@@ -155,6 +161,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     longest chain. No vertex gathers its neighbours: both stars are aggregations by minimum.
     """
     links = materialize(undirected(edges).where("src > dst"), "links")
+    before = _mark(links)
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
@@ -164,10 +171,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         small_least = down.groupBy("src").agg(F.min("dst").alias("m"))
         small = down.join(small_least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(small_least.select("src", F.col("m").alias("dst"))).where("src <> dst").distinct()
         small = materialize(small, "small")
-        changed = not (small.exceptAll(links).isEmpty() and links.exceptAll(small).isEmpty())
-        links = small
-        if not changed:
+        links, after = small, _mark(small)
+        if after == before:
             break
+        before = after
     return vertices(edges).join(links.select(F.col("src").alias("id"), F.col("dst").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
