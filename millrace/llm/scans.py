@@ -180,10 +180,10 @@ def _words(lines: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the words of each line without a broken word's parts, then the broken words themselves
     cut = F.regexp_replace("body", F.when(F.col("broken"), F.lit(r"[\p{L}\p{N}|$'’-]+[-‐\u00AD¬]$")).otherwise(F.lit(r"$^")), " ")
     headless = F.when(F.lag("broken").over(order), F.regexp_replace(cut, r"^[\p{L}0-9|$'’-]+", " ")).otherwise(cut)
-    own = flow.withColumn("tokens", F.regexp_extract_all(headless, F.lit(WORD), F.lit(0)))
-    inner = own.select("id", "line_no", "next_no", F.posexplode("tokens").alias("place", "word"), "tokens")
-    before = F.when(F.col("place") > 0, F.lower(F.get("tokens", F.col("place") - 1)))
-    inner = inner.select("id", "line_no", F.lit(None).cast("bigint").alias("next_no"), before.alias("before"), "word", F.lit(None).cast("int").alias("at"))
+    own = flow.select("id", "line_no", F.regexp_extract_all(headless, F.lit(WORD), F.lit(0)).alias("tokens"))
+    each = F.transform("tokens", lambda w, k: F.struct(F.lower(F.get("tokens", k - 1)).alias("before"), w.alias("word")))
+    inner = own.select("id", "line_no", F.explode(each).alias("w"))
+    inner = inner.select("id", "line_no", F.lit(None).cast("bigint").alias("next_no"), "w.before", "w.word", F.lit(None).cast("int").alias("at"))
     across = ends.select("id", "line_no", "next_no", F.lit(None).cast("string").alias("before"), F.when(F.col("natural"), F.col("hyphened")).otherwise(F.col("joined")).alias("word"), (F.char_length("left") + F.col("natural").cast("int")).alias("at"))
     breaks = ends.where("not natural").select("id", "line_no").unionByName(torn.select("id", "line_no"))
     return breaks, inner.unionByName(across)
