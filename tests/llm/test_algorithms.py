@@ -135,6 +135,16 @@ def test_names(spark):
     assert got - want <= {(2, 6)}
 
 
+@pytest.mark.parametrize(("one", "two"), [("Loldukelk", "Lolduekck"), ("Larkamomatn", "Larkamoamnn"), ("Felirostda", "Felirontad"), ("jenny", "jennifer")])
+def test_all_similar_words_that_met_are_links(spark, monkeypatch, one, two):
+    """What the bands bring together is decided by word_similarity alone: a swap with another typo, and nicknames."""
+    assert names.word_similarity(one.lower(), two.lower()) >= 0.8
+    monkeypatch.setattr(names, "_band_keys", lambda words: words.map(lambda w: [7]))
+    rows = [(k, "person", [word.lower()], False, ["bregiton"]) for k, word in ((1, one), (2, two))]
+    classes = spark.createDataFrame(rows, "class_id bigint, kind string, words array<string>, acronym boolean, context array<string>")
+    assert [tuple(r) for r in names._candidates(classes).collect()] == [(1, 2)]
+
+
 def test_names_of_nothing(spark):
     none = spark.createDataFrame([], VERTICES)
     assert names.linked_pairs(none, none).count() == 0
