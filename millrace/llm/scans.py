@@ -221,11 +221,11 @@ MIXED = r"^(?=.*\p{Ll}{2})(?!.*-)(?:.*\p{Ll}[0-9|$].*|.*[0-9|$]\p{Ll}{2}.*)$|^(?
 ORDINAL = r"(?i)^[0-9]+(?:st|nd|rd|th|er|re|ème|e|º|ª|km|kg|mm|cm|ms|mb|gb|x|h|min|am|pm|s)$"
 
 
-def _chosen(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+def _chosen(words: DataFrame, lexicon: DataFrame, clean: DataFrame) -> DataFrame:
     """The wrong words of the lines with the form meant: ``id``, ``line_no``, ``next_no``, ``at``, ``lower``, ``form``.
 
-    Where a word may stand for several forms, the one that stands most often after the same word in all scanned lines is
-    meant, then the most frequent one.
+    Where a word may stand for several forms, the one that stands most often after the same word in clean text and all
+    scanned lines is meant, then the most frequent one.
     """
     forms = materialize(_misread(words, lexicon), "forms")
     several = forms.groupBy("word").agg(F.count("*").alias("k")).where("k > 1").select("word")
@@ -233,7 +233,10 @@ def _chosen(words: DataFrame, lexicon: DataFrame) -> DataFrame:
         low = words.withColumn("lower", F.lower("word")).join(forms.withColumnRenamed("word", "lower"), "lower")
         return low.select("id", "line_no", "next_no", "at", "lower", "before", "form")
     asked = forms.join(several, "word", "left_semi").select("form").distinct()
-    follow = words.select("before", F.lower("word").alias("form")).join(asked, "form", "left_semi").groupBy("before", "form").agg(F.count("*").alias("together"))
+    listed = clean.select(F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("tokens"))  # a row as it was, but the words are found once
+    pairs = listed.select(F.explode(F.transform("tokens", lambda w, k: F.struct(F.get("tokens", k - 1).alias("before"), w.alias("form")))).alias("p")).select("p.*")
+    pairs = pairs.unionByName(words.select("before", F.lower("word").alias("form")))
+    follow = pairs.join(F.broadcast(asked), "form", "left_semi").groupBy("before", "form").agg(F.count("*").alias("together"))
     low = words.withColumn("lower", F.lower("word")).join(forms.withColumnRenamed("word", "lower"), "lower").join(follow, ["before", "form"], "left")
     best = F.max_by("form", F.struct(F.coalesce("together", F.lit(0)), "n", "form")).alias("form")
     return low.groupBy("id", "line_no", "next_no", "at", "lower", "before").agg(best)
@@ -244,13 +247,14 @@ class _Pages:
 
     def __init__(self, records: DataFrame, config: DataFrame) -> None:
         known = _records(records, config)
-        counted = materialize(_counted(known.where("not filled")), "counted")
+        clean = known.where("not filled")
+        counted = materialize(_counted(clean), "counted")
         self.lexicon = materialize(_lexicon(counted), "lexicon")
         self.triples = counted.where(F.col("token").startswith(MARK)).select(F.substr("token", F.lit(2)).alias("triple"), "n")
         self.lines = materialize(_layout(known.where("filled").groupBy("id").agg(F.max("text").alias("text"))), "lines")
         self.breaks, words = _words(self.lines, self.lexicon)
         self.words = materialize(words, "words")
-        self.wrong = _chosen(self.words, self.lexicon)
+        self.wrong = _chosen(self.words, self.lexicon, clean)
 
 
 def find_noise(records: DataFrame, config: DataFrame) -> DataFrame:

@@ -81,6 +81,14 @@ def test_noise_kinds(spark, config):
     assert "monthly report to the board." in told[0] and "Notes on" not in " ".join(told)
 
 
+def test_rival_forms_are_decided_by_clean_text(spark, config):
+    """That beads are of glass stands only in clean text; heads are more frequent."""
+    clean = [(f"c{k}", "plain", "We saw the head of it. " * 3 + "We saw a glass bead there.") for k in range(20)]
+    text = "Page 1 of 2\nWe saw a glass 8ead\nthere and the head of it\nthere."
+    told = " ".join(r.paragraph for r in scans.repair(records(spark, [*clean, ("s", "scan", text)]), config).where("id = 's'").orderBy("para_no").collect())
+    assert "glass bead there" in told
+
+
 def test_natural_hyphens_stay(spark, config):
     clean = [(f"c{k}", "plain", "The double-blind trial ended in May. It was a double-blind study of many things. ") for k in range(20)]
     text = "Page 1 of 2\nThe trial was a double-\nblind study of many\nthings and ended in May."
