@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import exprs
@@ -211,6 +211,58 @@ def kg_cooccurrence(t: Tables) -> DataFrame:
     return _together(t)
 
 
+def _hub(t: Tables) -> tuple[int, int]:
+    """The entity with most neighbours, and one farthest from it within five steps; the lesser id of equals."""
+    edges = _together(t)
+    hub = graph.degrees(edges).orderBy(F.desc("degree"), "id").first()["id"]
+    far = graph.neighbours(edges, t.spark.createDataFrame([(hub,)], "id bigint"), 5).orderBy(F.desc("depth"), "id").first()["id"]
+    return hub, far
+
+
+def _joined(path: str) -> Column:
+    return F.array_join(F.col(path).cast("array<string>"), ">").alias("path")
+
+
+@query()
+def graph_sql_paths_together(t: Tables) -> DataFrame:
+    edges = _together(t)
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return SqlService(t.spark).paths(both, str(_hub(t)[0]), 3).select("depth", "node", F.array_join("path", ">").alias("path"))
+
+
+@query()
+def graph_simple_paths_together(t: Tables) -> DataFrame:
+    return graph.simple_paths(_together(t), _hub(t)[0], 5, direction="both").select("depth", _joined("path"))
+
+
+@query()
+def graph_all_shortest_together(t: Tables) -> DataFrame:
+    return graph.all_shortest_paths(_together(t), *_hub(t), direction="both", depth=5).select(_joined("path"))
+
+
+@query()
+def graph_weighted_shortest_together(t: Tables) -> DataFrame:
+    """Weights are the numbers of chunks that two entities share."""
+    m = _mentions(t)
+    edges = m.select(F.col("id").alias("src"), "chunk_id").join(m.select(F.col("id").alias("dst"), "chunk_id"), "chunk_id").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
+    return graph.shortest_distances(edges, t.spark.createDataFrame([(_hub(t)[0],)], "id bigint"), "w", "both").select("id", "distance")
+
+
+@query()
+def graph_rings_together(t: Tables) -> DataFrame:
+    return graph.rings(_together(t), _hub(t)[0], 5, "both").select(_joined("path"), "depth")
+
+
+@query()
+def graph_rays_together(t: Tables) -> DataFrame:
+    return graph.rays(_together(t), _hub(t)[0], 5, "both").select(_joined("path"))
+
+
+@query()
+def graph_crosspoints_together(t: Tables) -> DataFrame:
+    return graph.crosspoints(_together(t), *_hub(t), 3, "both")
+
+
 @query(f"WITH b AS MATERIALIZED (SELECT src, dst FROM ({_TOGETHER}) UNION ALL SELECT dst, src FROM ({_TOGETHER})) SELECT x.src AS id, count(*) AS triangles FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN b z ON z.src = x.dst AND z.dst = y.dst GROUP BY x.src")
 def graph_triangles_together(t: Tables) -> DataFrame:
     return graph.triangles(_together(t))

@@ -89,3 +89,23 @@ def test_louvain_over_entities(spark, together):
     found = run(spark, "graph_louvain")
     assert {r.id for r in found.collect()} == set(together)
     assert graph.modularity(catalog_graph._together(Tables(spark, DATA)), found) > 0.5
+
+
+def test_traversals_from_a_hub(spark, together):
+    hub = min(together, key=lambda v: (-len(together[v]), v))
+    depth = walk(together, hub)[0]
+    far = min(depth, key=lambda v: (-depth[v], v)) if max(depth.values()) <= 5 else None
+    paths, front = [(hub,)], [(hub,)]
+    for _ in range(5):
+        front = [(*p, w) for p in front for w in together[p[-1]] if w not in p]
+        paths += front
+    text = lambda p: ">".join(map(str, p))
+    got = lambda name: sorted(r.path for r in run(spark, name).collect())
+    assert got("graph_simple_paths_together") == sorted(map(text, paths))
+    assert got("graph_sql_paths_together") == sorted(text(p) for p in paths if len(p) <= 4)
+    assert got("graph_rings_together") == sorted(text(p) for p in paths if 2 <= len(p) <= 5 and hub in together[p[-1]])
+    assert got("graph_rays_together") == sorted(text(p) for p in paths if len(p) > 1 and (len(p) == 6 or not together[p[-1]] - set(p)))
+    assert got("graph_all_shortest_together") == sorted(text(p) for p in paths if p[-1] == far and len(p) == depth[far] + 1)
+    assert {r.id for r in run(spark, "graph_weighted_shortest_together").collect()} == set(depth)
+    back = walk(together, far)[0]
+    assert {r.id for r in run(spark, "graph_crosspoints_together").collect()} == {v for v in depth if v not in (hub, far) and depth[v] <= 3 and back[v] <= 3}
