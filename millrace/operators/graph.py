@@ -7,6 +7,7 @@ executor costs a re-read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,16 +96,19 @@ def step_paths(edges: DataFrame, sources: DataFrame, steps: Sequence[tuple[str,
     return found
 
 
-def shortest_distances(edges: DataFrame, sources: DataFrame, weight: str | None = None, direction: str = "out", rounds: int = 30) -> DataFrame:
+def shortest_distances(edges: DataFrame, sources: DataFrame, weight: str | None = None, direction: str = "out", rounds: int | None = None) -> DataFrame:
     """``source``, ``id``, ``distance``, ``previous``: from each source to all it reaches, by rounds of relaxation.
 
-    Each round only extends what the round before improved, and it ends when nothing did. Weights aren't negative.
+    Each round only extends what the round before improved, and it ends when nothing did; if that takes more than
+    ``rounds``, where given, it's an error. Weights aren't negative.
     """
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
     links = materialize(_either(edges.select("src", "dst", w.alias("w")), direction).groupBy("src", "dst").agg(F.min("w").alias("w")), "links")
     best = materialize(sources.select(F.col("id").alias("source"), "id").distinct().select("source", "id", F.lit(0.0).alias("distance"), F.lit(None).cast(edges.schema["src"].dataType).alias("previous")), "best")
     front = best
-    for _ in range(rounds):
+    for k in count():
+        if k == rounds:
+            raise ValueError(f"distances still change after {rounds} rounds")
         offered = front.join(links, front["id"] == links["src"]).select("source", F.col("dst").alias("id"), (F.col("distance") + F.col("w")).alias("offered"), F.col("src").alias("via"))
         offered = offered.groupBy("source", "id").agg(F.min(F.struct("offered", "via")).alias("o"))
         better = offered.join(best.select("source", "id", "distance"), ["source", "id"], "left").where("distance is null or o.offered < distance")
@@ -200,10 +204,12 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
 
 
-def k_core(edges: DataFrame, k: int = 3, rounds: int = 50) -> DataFrame:
-    """``id``, ``degree`` within the core: what is left when vertices with fewer than ``k`` neighbours are peeled away."""
+def k_core(edges: DataFrame, k: int = 3, rounds: int | None = None) -> DataFrame:
+    """``id``, ``degree`` within the core: what is left when vertices with fewer than ``k`` neighbours are peeled away; an error if that takes more than ``rounds``, where given."""
     links = materialize(undirected(edges), "links")
-    for _ in range(rounds):
+    for n in count():
+        if n == rounds:
+            raise ValueError(f"vertices are still peeled away after {rounds} rounds")
         kept = links.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") >= k).select("src")
         fewer = materialize(links.join(kept, "src", "left_semi").join(kept.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"), "core")
         if fewer.count() == links.count():

@@ -109,3 +109,10 @@ def test_traversals_from_a_hub(spark, together):
     assert {r.id for r in run(spark, "graph_weighted_shortest_together").collect()} == set(depth)
     back = walk(together, far)[0]
     assert {r.id for r in run(spark, "graph_crosspoints_together").collect()} == {v for v in depth if v not in (hub, far) and depth[v] <= 3 and back[v] <= 3}
+
+
+def test_long_chains_are_walked_to_their_end(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(32)], "src bigint, dst bigint")
+    assert graph.shortest_distances(chain, spark.createDataFrame([(0,)], "id bigint")).count() == 33
+    with pytest.raises(ValueError, match="rounds"):
+        graph.k_core(chain, 2, rounds=2)
