@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -257,7 +257,7 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _block_words(classes: DataFrame) -> DataFrame:
-    """The two rarest words of each name, and of names in Han all pairs of neighbouring characters: ``class_id``, ``word``.
+    """The two rarest words of each name, and of names in Han the four rarest pairs of neighbouring characters: ``class_id``, ``word``.
 
     How rare a word is counts over all names. Words of one letter find nobody.
     """
@@ -266,11 +266,27 @@ def _block_words(classes: DataFrame) -> DataFrame:
     each = classes.select("class_id", F.explode(F.array_distinct(parts)).alias("word"), F.col("words")[0].rlike("[㐀-鿿]").alias("han"))
     rarity = each.groupBy("word").agg(F.count("*").alias("df"))
     ranked = each.join(rarity, "word").withColumn("rank", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "word")))
-    return ranked.where("rank <= 2 or (han and rank <= 4)").select("class_id", "word", "df")
+    return ranked.where("rank <= 2 or (han and rank <= 4)").select("class_id", "word")
 
 
-#: A word in more names than this finds only names that share another word's beginning as well.
-HOT = 20
+def _heads() -> Column:
+    """What two names that meet on a similar word share besides if they stand for the same entity, whether the word is rare or common.
+
+    Another word that is similar as well begins or ends alike, a nickname as what it is short for; or the contexts name
+    the same place; or both names are single words; or, of organisations, the joined words begin and end alike. Names in
+    Han share three characters in a row, or the place.
+    """
+    nick = F.create_map(*[F.lit(x) for k in NICKNAMES for x in (k, "".join(sorted({n[0] for n in full_names(k)})))])
+    others = F.filter("words", lambda w: w != F.col("word"))
+    begins = F.filter(F.split(F.array_join(F.transform(others, lambda w: F.coalesce(nick[w], F.left(w, F.lit(1)))), ""), ""), lambda c: c != "")
+    ends = F.transform(others, lambda w: F.concat(F.lit("$"), F.right(w, F.lit(1))))
+    places = F.transform(F.filter("context", lambda c: ~c.rlike("^[0-9]+$")), lambda c: F.concat(F.lit("@"), c))
+    alone = F.when(F.size(others) == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    whole = F.array_join("words", "")
+    glued = F.when(F.coalesce("kind", F.lit("organization")) == "organization", F.array(F.concat(F.lit("="), F.left(whole, F.lit(3)), F.right(whole, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    name = F.col("words")[0]
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(name) - 2, F.lit(1))), lambda i: F.substr(name, i, F.lit(3)))
+    return F.array_distinct(F.when(F.col("word").rlike("[㐀-鿿]"), F.concat(runs, places)).otherwise(F.concat(begins, ends, places, alone, glued)))
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -281,21 +297,15 @@ def _candidates(classes: DataFrame) -> DataFrame:
     banded = blocks.select("word").distinct().where(~F.col("word").rlike("[㐀-鿿]")).repartition(parts, "word").select("word", F.explode(keys("word")).alias("band"))
     like = F.pandas_udf(lambda a, b: pd.Series([word_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
     met = banded.alias("l").join(banded.alias("r"), F.expr("l.band = r.band and l.word < r.word")).select(F.col("l.word").alias("one"), F.col("r.word").alias("two")).distinct()
-    similar = met.where(like("one", "two") >= 0.8)
+    similar = materialize(met.where(like("one", "two") >= 0.8), "similar")
     same = blocks.select(F.col("word").alias("one"), F.col("word").alias("two")).distinct()
     links = same.unionByName(similar)
-    # names with a hot word meet on that word together with the first letter of another, or of what that is short for
-    letters = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() for x in (k, "".join(sorted({n[0] for n in full_names(k)})))])
-    firsts = lambda w: F.coalesce(letters[w], F.left(w, F.lit(1)))
-    heads = F.split(F.array_join(F.transform(F.filter("words", lambda w: w != F.col("word")), firsts), ""), "")
-    wide = blocks.join(classes.select("class_id", "words"), "class_id")
-    # of names in Han it is three characters in a row, for their pairs are common sooner
-    han, name = F.col("word").rlike("[㐀-鿿]"), F.col("words")[0]
-    heads = F.when(han, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(name) - 2, F.lit(1))), lambda i: F.substr(name, i, F.lit(3)))).otherwise(heads)
-    extra = wide.select("class_id", "word", F.explode_outer(F.when(F.col("df") > F.when(han, 8 * HOT).otherwise(HOT), F.array_distinct(heads)).otherwise(F.array(F.lit("")))).alias("head"))
-    left = extra.select(F.col("class_id").alias("a"), F.col("word").alias("one"), F.col("head").alias("head_a"))
-    right = extra.select(F.col("class_id").alias("b"), F.col("word").alias("two"), F.col("head").alias("head_b"))
-    by_word = left.join(links, "one").join(right, "two").where("a <> b and (head_a = head_b or head_a = '' or head_b = '')")
+    headed = blocks.join(classes.select("class_id", "kind", "words", "context"), "class_id").select("class_id", "word", "kind", "context", F.explode(_heads()).alias("head"))
+    left = headed.select(F.col("class_id").alias("a"), F.col("word").alias("one"), "head", F.col("kind").alias("kind_a"), F.col("context").alias("context_a"))
+    right = headed.select(F.col("class_id").alias("b"), F.col("word").alias("two"), "head", F.col("kind").alias("kind_b"), F.col("context").alias("context_b"))
+    # another kind, or contexts with nothing in common, can't be the same
+    may = F.expr("a <> b and (kind_a is null or kind_b is null or kind_a = kind_b) and (size(context_a) = 0 or size(context_b) = 0 or arrays_overlap(context_a, context_b))")
+    by_word = left.join(links, "one").join(right, ["two", "head"]).where(may)
     by_word = by_word.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # acronyms share no q-grams with what they stand for; they meet on the letters and a place of the context
     letters = F.when(F.col("acronym"), F.split(F.array_join("words", ""), "")).when(F.size("words") > 1, F.transform("words", lambda w: F.substr(w, F.lit(1), F.lit(1))))
@@ -312,10 +322,6 @@ def _edges(classes: DataFrame) -> DataFrame:
     own = lambda k: F.struct("kind", "words", "acronym", "context").alias(k)
     pairs = _candidates(classes).join(classes.select(F.col("class_id").alias("a"), own("x")), "a").join(classes.select(F.col("class_id").alias("b"), own("y")), "b")
 
-    # cheaply first: another kind, or contexts with nothing in common
-    kinds = F.expr("x.kind is null or y.kind is null or x.kind = y.kind")
-    pairs = pairs.where(kinds & F.expr("size(x.context) = 0 or size(y.context) = 0 or arrays_overlap(x.context, y.context)"))
-
     @F.pandas_udf("double")
     def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
         rows = lambda z: ({"kind": k, "words": w, "acronym": a, "context": c} for k, w, a, c in zip(z["kind"], z["words"], z["acronym"], z["context"], strict=True))
@@ -330,22 +336,22 @@ ANCHORED = 8
 NEAR = 0.85
 
 
-def star_clusters(vertices: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
+def star_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``class_id``, ``center``: each vertex with the center of its star; ``vertices`` has ``class_id`` and ``weight``.
 
     In each round, the vertices that outrank all their neighbours still without a star become centers, and all their
-    neighbours are covered; rank is by weight, number of neighbours and id. Satellites go to the most similar center.
-    Isolated vertices are their own center. The rounds end when every vertex is covered; the rest after ``rounds``
-    rounds become their own centers.
+    neighbours are covered; rank is by weight, number of neighbours and a hash of the id, so that ranks don't fall along
+    chains of ids. Satellites go to the most similar center. Isolated vertices are their own center. The rounds end when
+    every vertex is covered, however many that takes: each covers the highest ranked vertex of every open component.
     """
     both = edges.select("a", "b", "similarity").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     degree = both.groupBy("a").agg(F.count("*").alias("degree")).withColumnRenamed("a", "class_id")
-    ranked = materialize(vertices.join(degree, "class_id").select("class_id", F.struct("weight", "degree", (-F.col("class_id")).alias("last")).alias("rank")), "ranked")
+    ranked = materialize(vertices.join(degree, "class_id").select("class_id", F.struct("weight", "degree", F.xxhash64("class_id").alias("last"), "class_id").alias("rank")), "ranked")
     left = ranked.select(F.col("class_id").alias("a"), F.col("rank").alias("rank_a"))
     right = ranked.select(F.col("class_id").alias("b"), F.col("rank").alias("rank_b"))
     links = materialize(both.join(left, "a").join(right, "b"), "links")
     open_links, open_vertices, centers = links, ranked.select("class_id"), []
-    for _ in range(rounds):
+    while True:
         best = open_links.groupBy(F.col("a").alias("class_id")).agg(F.max("rank_b").alias("other"))
         chosen = open_vertices.join(ranked, "class_id").join(best, "class_id", "left").where("other is null or rank > other").select("class_id")
         chosen = materialize(chosen, "centers")
@@ -356,7 +362,7 @@ def star_clusters(vertices: DataFrame, edges: DataFrame, rounds: int = 12) -> Da
         open_links = materialize(open_links.join(open_vertices.withColumnRenamed("class_id", "a"), "a", "left_semi").join(open_vertices.withColumnRenamed("class_id", "b"), "b", "left_semi"), "open")
         if open_vertices.isEmpty():
             break
-    stars = reduce(DataFrame.unionByName, [*centers, open_vertices])
+    stars = reduce(DataFrame.unionByName, centers)
     to = links.join(stars.withColumnRenamed("class_id", "b"), "b", "left_semi").join(stars.withColumnRenamed("class_id", "a"), "a", "left_anti")
     satellites = to.groupBy(F.col("a").alias("class_id")).agg(F.max_by("b", F.struct("similarity", "rank_b")).alias("center"))
     satellites = materialize(satellites, "satellites")

@@ -145,6 +145,25 @@ def test_all_similar_words_that_met_are_links(spark, monkeypatch, one, two):
     assert [tuple(r) for r in names._candidates(classes).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize(("one", "two"), [(["kohn", "smithers"], ["john", "smithers"]), (["smithers", "becky"], ["rebecca", "smithers"]), (["smithers"], ["lena", "smithers"])])
+def test_common_words_lose_no_candidate(spark, monkeypatch, one, two):
+    """A word that hundreds of names have brings those together that another word, or a place, has in common."""
+    monkeypatch.setattr(names, "_band_keys", lambda words: words.map(lambda w: [hash(w) % 1000]))
+    rows = [(k, "person", ["smithers", f"{chr(97 + k % 26)}{k}x{k % 7}"], False, [f"town{k}"]) for k in range(10, 300)]
+    rows += [(1, "person", one, False, ["bregiton"]), (2, "person", two, False, ["bregiton"])]
+    classes = spark.createDataFrame(rows, "class_id bigint, kind string, words array<string>, acronym boolean, context array<string>")
+    assert (1, 2) in {tuple(r) for r in names._candidates(classes).collect()}
+
+
+def test_stars_of_a_long_chain(spark):
+    n = 60
+    vertices = spark.createDataFrame([(k, n - k) for k in range(n)], "class_id bigint, weight int")
+    links = spark.createDataFrame([(k, k + 1, 0.9) for k in range(n - 1)], "a bigint, b bigint, similarity double")
+    stars = {r.class_id: r.center for r in names.star_clusters(vertices, links).collect()}
+    assert set(stars) == set(range(n)) and all(abs(k - c) <= 1 for k, c in stars.items())
+    assert all(stars[c] == c for c in stars.values())
+
+
 def test_names_of_nothing(spark):
     none = spark.createDataFrame([], VERTICES)
     assert names.linked_pairs(none, none).count() == 0
