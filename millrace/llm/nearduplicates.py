@@ -96,44 +96,59 @@ def _distance(low: np.ndarray, high: np.ndarray, a: int | np.ndarray, b: int | n
     return np.bitwise_count(low[a] ^ low[b]).astype(np.int16) + np.bitwise_count(high[a] ^ high[b]).astype(np.int16)
 
 
-def search(low: np.ndarray, high: np.ndarray, data: np.ndarray, queries: np.ndarray, radius: int = RADIUS, leaf: int = 48) -> tuple[np.ndarray, np.ndarray]:
+def search(low: np.ndarray, high: np.ndarray, data: np.ndarray, queries: np.ndarray, radius: int = RADIUS, leaf: int = 48, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All (query, datum) within the radius, by a vantage-point tree over ``data`` that is built and searched in one walk.
 
     A node's vantage point divides its data at the median distance. A query goes to the near part if its distance less
-    the radius is within the median, and to the far part if its distance plus the radius is beyond it.
+    the radius is within the median, and to the far part if its distance plus the radius is beyond it. Pairs come out in
+    portions of about ``most``, so that a shard of near copies needs no memory for all of its pairs.
     """
-    found_q, found_d = [], []
+    found_q, found_d, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     stack = [(data, queries)]
     while stack:
         own, asked = stack.pop()
         if not len(own) or not len(asked):
             continue
         if len(own) <= leaf:
-            for at in range(0, len(asked), 4096):
-                part = asked[at : at + 4096]
-                i, j = np.nonzero(_distance(low, high, part[:, None], own[None, :]) <= radius)
-                found_q.append(part[i])
-                found_d.append(own[j])
-            continue
-        vantage, own = own[0], own[1:]
-        near_q = _distance(low, high, asked, vantage)
-        found_q.append(asked[near_q <= radius])
-        found_d.append(np.full((near_q <= radius).sum(), vantage))
-        near_d = _distance(low, high, own, vantage)
-        median = int(np.median(near_d))
-        inner = near_d <= median
-        if inner.all() and median == 0:  # copies of one fingerprint: no distance divides them
-            i, j = np.nonzero(np.broadcast_to((near_q <= radius)[:, None], (len(asked), len(own))))
-            found_q.append(asked[i])
-            found_d.append(own[j])
-            continue
-        if inner.all():
-            inner = near_d < median
-            median -= 1
-        stack.append((own[inner], asked[near_q - radius <= median]))
-        stack.append((own[~inner], asked[near_q + radius > median]))
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *found_q]), np.concatenate([none, *found_d])
+            pairs = _within(low, high, asked, own, radius)
+        else:
+            vantage, own = own[0], own[1:]
+            near_q = _distance(low, high, asked, vantage)
+            hit = asked[near_q <= radius]
+            found_q.append(hit)
+            found_d.append(np.full(len(hit), vantage))
+            held += len(hit)
+            near_d = _distance(low, high, own, vantage)
+            median = int(np.median(near_d))
+            inner = near_d <= median
+            if inner.all() and median == 0:  # copies of one fingerprint: no distance divides them
+                pairs = _within(low, high, hit, own, radius)
+            else:
+                if inner.all():
+                    inner = near_d < median
+                    median -= 1
+                stack.append((own[inner], asked[near_q - radius <= median]))
+                stack.append((own[~inner], asked[near_q + radius > median]))
+                pairs = iter(())
+        for q, d in pairs:
+            found_q.append(q)
+            found_d.append(d)
+            held += len(q)
+            if held >= most:
+                yield np.concatenate(found_q), np.concatenate(found_d)
+                found_q, found_d, held = [], [], 0
+    if held:
+        yield np.concatenate(found_q), np.concatenate(found_d)
+
+
+def _within(low: np.ndarray, high: np.ndarray, asked: np.ndarray, own: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the radius, compared in blocks."""
+    for at in range(0, len(asked), 4096):
+        part = asked[at : at + 4096]
+        for start in range(0, len(own), 256):
+            some = own[start : start + 256]
+            i, j = np.nonzero(_distance(low, high, part[:, None], some[None, :]) <= radius)
+            yield part[i], some[j]
 
 
 def _search_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,12 +158,12 @@ def _search_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         last = (batch["shard"] == batch["shard"].iloc[-1]) & (batch["part"] == batch["part"].iloc[-1]) if len(batch) else []
         rest = batch[last]
-        yield _pairs(batch[~last] if len(batch) else batch)
+        yield from _pairs(batch[~last] if len(batch) else batch)
     if rest is not None:
-        yield _pairs(rest)
+        yield from _pairs(rest)
 
 
-def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
+def _pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     shard, part, node = (rows[c].to_numpy() for c in ("shard", "part", "node"))
     low, high, home = rows["low"].to_numpy().view(np.uint64), rows["high"].to_numpy().view(np.uint64), rows["at_home"].to_numpy().astype(bool)
     cuts = np.concatenate(([0], np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1, [len(rows)])) if len(rows) else np.zeros(1, int)
@@ -162,14 +177,15 @@ def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
         ok = (home[i] | home[j]) & (_distance(low, high, i, j) <= RADIUS)
         one.append(i[ok])
         two.append(j[ok])
+    def frame(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return pd.DataFrame({"a": a[a != b], "b": b[a != b]}).drop_duplicates()
+
+    yield frame(np.concatenate([np.zeros(0, np.int64), *one]), np.concatenate([np.zeros(0, np.int64), *two]))
     for k in np.flatnonzero(sizes > 8):
         own = np.arange(cuts[k], cuts[k + 1])
-        q, d = search(low, high, own[home[own]], own)
-        one.append(q)
-        two.append(d)
-    a, b = np.concatenate([np.zeros(0, np.int64), *one]), np.concatenate([np.zeros(0, np.int64), *two])
-    a, b = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-    return pd.DataFrame({"a": a[a != b], "b": b[a != b]}).drop_duplicates()
+        for q, d in search(low, high, own[home[own]], own):
+            yield frame(q, d)
 
 
 def _spread(shards: DataFrame) -> DataFrame:

@@ -45,6 +45,16 @@ def test_neighbours_of_bad_and_equal_vectors(spark):
     assert all(x.other.startswith("s") and abs(x.cosine - 1) < 1e-2 for k, _ in same for x in per[k])
 
 
+def test_neighbours_in_blocks_and_shares(spark, monkeypatch):
+    """Lists cut into blocks, their queries into shares: the same neighbours."""
+    rng = np.random.default_rng(11)
+    df = table(spark, [(f"v{k:03}", v) for k, v in enumerate(rng.standard_normal((150, 16)))])
+    whole = {tuple(r) for r in neighbours.similar_pairs(df, dimensions=16).collect()}
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "ASKED", 20)
+    assert {tuple(r) for r in neighbours.similar_pairs(df, dimensions=16).collect()} == whole
+
+
 def test_neighbours_of_few(spark):
     assert neighbours.similar_pairs(table(spark, []), dimensions=8).count() == 0
     assert neighbours.similar_pairs(table(spark, [("a", np.ones(8))]), dimensions=8).count() == 0
@@ -92,8 +102,9 @@ def test_vantage_points_find_all():
     low = np.concatenate([base ^ (np.uint64(1) << np.uint64(k)) for k in range(8)] + [rng.integers(0, 2**63, 400, dtype=np.uint64), base[:1].repeat(60)])
     high = np.zeros_like(low)
     every = np.arange(len(low))
-    q, d = nearduplicates.search(low, high, every, every, radius=9)
-    got = {(a, b) for a, b in zip(q.tolist(), d.tolist()) if a != b}
+    found = list(nearduplicates.search(low, high, every, every, radius=9, most=200))
+    assert len(found) > 3
+    got = {(a, b) for q, d in found for a, b in zip(q.tolist(), d.tolist()) if a != b}
     distance = np.bitwise_count(low[:, None] ^ low[None, :])
     want = {(a, b) for a, b in zip(*np.nonzero(distance <= 9)) if a != b}
     assert got == want
