@@ -34,6 +34,8 @@ BLANKS = r" \t\r\f\x0B"
 WIDEST = 120
 #: A form is wrong where clean text has its group's best form so many times as often.
 RATIO = 40
+#: So many rival forms, of a few letters each, are sent to every task (about 30 MB).
+MOST_FORMS = 300_000
 
 
 def skeleton(word: Column, swap: bool = False) -> Column:
@@ -232,11 +234,13 @@ def _chosen(words: DataFrame, lexicon: DataFrame, clean: DataFrame) -> DataFrame
     if several.isEmpty():  # nothing to choose: the text needn't be read once more
         low = words.withColumn("lower", F.lower("word")).join(forms.withColumnRenamed("word", "lower"), "lower")
         return low.select("id", "line_no", "next_no", "at", "lower", "before", "form")
-    asked = forms.join(several, "word", "left_semi").select("form").distinct()
+    asked = materialize(forms.join(several, "word", "left_semi").select("form").distinct(), "asked")
+    # a list of words that fits every task stays where the text is; a longer one meets it on the word
+    listed_forms = F.broadcast(asked) if asked.count() <= MOST_FORMS else asked
     listed = clean.select(F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("tokens"))  # a row as it was, but the words are found once
     pairs = listed.select(F.explode(F.transform("tokens", lambda w, k: F.struct(F.get("tokens", k - 1).alias("before"), w.alias("form")))).alias("p")).select("p.*")
     pairs = pairs.unionByName(words.select("before", F.lower("word").alias("form")))
-    follow = pairs.join(F.broadcast(asked), "form", "left_semi").groupBy("before", "form").agg(F.count("*").alias("together"))
+    follow = pairs.join(listed_forms, "form", "left_semi").groupBy("before", "form").agg(F.count("*").alias("together"))
     low = words.withColumn("lower", F.lower("word")).join(forms.withColumnRenamed("word", "lower"), "lower").join(follow, ["before", "form"], "left")
     best = F.max_by("form", F.struct(F.coalesce("together", F.lit(0)), "n", "form")).alias("form")
     return low.groupBy("id", "line_no", "next_no", "at", "lower", "before").agg(best)
