@@ -9,10 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.session import materialize
 
@@ -120,9 +118,30 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, weight: str | None
 
 
 def all_shortest_paths(edges: DataFrame, source: object, target: object, direction: str = "out", depth: int = 10) -> DataFrame:
-    """``path`` of each of the shortest paths between two vertices."""
-    paths = simple_paths(edges, source, depth, target, direction)
-    return paths.withColumn("least", F.min("depth").over(Window.partitionBy(F.lit(1)))).where("depth = least").select("path", "depth").distinct()
+    """``path``, ``depth`` of each of the shortest paths between two vertices, none where the target is farther than ``depth``.
+
+    Levels are walked until one holds the target; then only what lies on a shortest path is followed back.
+    """
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    links = _either(edges.select("src", "dst"), direction).distinct()
+    only = lambda x: spark.range(1).select(F.lit(x).cast(kind).alias("id"))
+    levels = [only(source)]
+    seen, front = levels[0], levels[0]
+    paths = only(target).select(F.array("id").alias("path"))
+    if source != target:
+        for _ in range(depth):
+            reached = front.join(links, front["id"] == links["src"]).select(F.col("dst").alias("id")).distinct()
+            front = materialize(reached.join(seen, "id", "left_anti"), "level")
+            if not front.where(F.col("id") == F.lit(target)).isEmpty():
+                break
+            if front.isEmpty() or len(levels) == depth:
+                return paths.limit(0).withColumn("depth", F.lit(0))
+            levels.append(front)
+            seen = seen.unionByName(front)
+        for level in reversed(levels):
+            ends = paths.withColumn("dst", F.element_at("path", 1)).join(links, "dst").join(level.withColumnRenamed("id", "src"), "src", "left_semi")
+            paths = ends.select(F.array_prepend("path", F.col("src")).alias("path"))
+    return paths.withColumn("depth", F.size("path") - 1)
 
 
 # --- algorithms ----------------------------------------------------------------------------------------------------------
@@ -158,15 +177,15 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(20,0)")), F.sum((F.col("src") != F.col("dst")).cast("int"))).first())
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``id``, ``component`` (its least id): weakly connected, by alternating large and small stars.
 
-    Each round links every vertex to the least one it knows; the number of rounds grows with the logarithm of the
-    longest chain. No vertex gathers its neighbours: both stars are aggregations by minimum.
+    Each round links every vertex to the least one it knows, until nothing changes; the number of rounds grows with the
+    logarithm of the longest chain. No vertex gathers its neighbours: both stars are aggregations by minimum.
     """
     links = materialize(undirected(edges).where("src > dst"), "links")
     before = _mark(links)
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
@@ -227,42 +246,36 @@ def closeness(edges: DataFrame) -> DataFrame:
 def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """``id``, ``betweenness``, undirected, each pair once; from the given sources only (an estimate) or from all.
 
-    The sources are spread over the tasks; each task walks the graph once per source. The graph itself, as an edge list,
-    goes to every task, so it is for graphs that fit one: a size over 10 million edges is refused.
+    All sources are walked at once, level by level: a level has a row for each source and vertex with the number of
+    shortest ways to it. Then, from the last level back, each vertex hands its dependency on to those before it, in
+    proportion to their ways. Every step is a join and an aggregation; no task holds the graph.
     """
-    links = undirected(edges)
-    if links.limit(10_000_001).count() > 10_000_000:
-        raise ValueError("the graph is too large for one task")
-    pdf = links.toPandas()
-    shared = edges.sparkSession.sparkContext.broadcast({s: d["dst"].tolist() for s, d in pdf.groupby("src")})
-
-    def walk(batches):  # noqa: ANN001, ANN202
-        graph = shared.value
-        total: dict = {}
-        for batch in batches:
-            for s in batch["id"].tolist():
-                order, before, count, depth = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in graph.get(v, ()):
-                        if w not in depth:
-                            depth[w], before[w], count[w] = depth[v] + 1, [], 0.0
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            count[w] += count[v]
-                            before[w].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += count[v] / count[w] * (1 + share[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + share[w] / 2
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())})
-
-    kind = edges.schema["src"].dataType.simpleString()
-    parts = (sources or vertices(edges)).select("id").repartition(8).mapInPandas(walk, f"id {kind}, part double")
-    return parts.groupBy("id").agg(F.round(F.sum("part"), 6).alias("betweenness"))
+    links = materialize(undirected(edges), "links")
+    every = vertices(edges)
+    start = (sources.select("id").distinct() if sources is not None else every).select(F.col("id").alias("source"), "id", F.lit(1.0).alias("ways"))
+    levels = [materialize(start, "level")]
+    seen = levels[0].select("source", "id")
+    while True:
+        front = levels[-1]
+        ways = front.join(links, front["id"] == links["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("ways").alias("ways"))
+        level = materialize(ways.join(seen, ["source", "id"], "left_anti"), "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("source", "id"))
+    below: DataFrame | None = None
+    parts = []
+    for level in reversed(levels[1:]):
+        own = level.withColumn("share", F.lit(0.0)) if below is None else level.join(below, ["source", "id"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        own = materialize(own, "shares")
+        parts.append(own.select("id", "share"))
+        before = levels[len(levels) - 1 - len(parts)].select("source", F.col("id").alias("up"), F.col("ways").alias("up_ways"))
+        handed = own.join(links, own["id"] == links["src"]).select("source", F.col("dst").alias("up"), ((1 + F.col("share")) / F.col("ways")).alias("each")).join(before, ["source", "up"])
+        below = handed.groupBy("source", F.col("up").alias("id")).agg(F.sum(F.col("each") * F.col("up_ways")).alias("share"))
+    total = every.select("id", F.lit(0.0).alias("share"))
+    for part in parts:
+        total = total.unionByName(part)
+    return total.groupBy("id").agg(F.round(F.sum("share") / 2, 6).alias("betweenness"))
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, weight: str | None = None) -> DataFrame:

@@ -10,54 +10,6 @@ from millrace.operators import graph, knowledge
 from millrace.plans.registry import Tables, query
 from millrace.plans.sqlservice import SqlService
 
-#: A small graph with a cycle and a chain, the same in the queries and in their SQL.
-_EDGES = [(1, 2, 0.5), (2, 3, 0.9), (3, 4, 0.1), (1, 5, 0.7), (4, 1, 0.2), (5, 3, 0.3), (6, 7, 1.0)]
-_VALUES = "(VALUES " + ", ".join(f"({a}, {b}, {w}::DOUBLE)" for a, b, w in _EDGES) + ") AS e (src, dst, w)"
-
-
-def _small(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(_EDGES, "src int, dst int, w double")
-
-
-_WALK = f"""WITH RECURSIVE e AS (SELECT src::VARCHAR AS s, dst::VARCHAR AS t, w FROM {_VALUES}), walk AS (SELECT 0 AS depth, '1' AS node, ['1'] AS path, 0::DOUBLE AS cost
-UNION ALL SELECT depth + 1, e.t, list_append(path, e.t), cost + e.w FROM walk JOIN e ON e.s = walk.node WHERE depth < 3 AND NOT list_contains(path, e.t))"""
-
-
-@query(_WALK + " SELECT depth, node, array_to_string(path, '>') AS path, round(cost, 6) AS cost FROM walk")
-def graph_sql_paths(t: Tables) -> DataFrame:
-    return SqlService(t.spark).paths(_small(t), "1", 3, weight="w").select("depth", "node", F.array_join("path", ">").alias("path"), F.round("cost", 6).alias("cost"))
-
-
-@query(_WALK + " SELECT depth, array_to_string(path, '>') AS path, round(cost, 6) AS cost FROM walk")
-def graph_simple_paths(t: Tables) -> DataFrame:
-    return graph.simple_paths(_small(t), 1, 3, weight="w").select("depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.round("cost", 6).alias("cost"))
-
-
-@query(_WALK + " SELECT array_to_string(path, '>') AS path FROM walk WHERE node = '3' AND depth = (SELECT min(depth) FROM walk WHERE node = '3')")
-def graph_all_shortest(t: Tables) -> DataFrame:
-    return graph.all_shortest_paths(_small(t), 1, 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
-
-
-@query("SELECT id, distance::DOUBLE AS distance FROM (VALUES (1, 0.0), (2, 0.5), (5, 0.7), (3, 1.0), (4, 1.1)) AS x (id, distance)")
-def graph_weighted_shortest(t: Tables) -> DataFrame:
-    return graph.shortest_distances(_small(t), t.spark.createDataFrame([(1,)], "id int"), "w").select("id", F.round("distance", 6).alias("distance"))
-
-
-@query("SELECT * FROM (VALUES ('1>2>3>4', 4), ('1>5>3>4', 4)) AS x (path, depth)")
-def graph_rings(t: Tables) -> DataFrame:
-    return graph.rings(_small(t), 1, 5).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "depth")
-
-
-@query("SELECT * FROM (VALUES ('1>2>3>4'), ('1>5>3>4')) AS x (path)")
-def graph_rays(t: Tables) -> DataFrame:
-    return graph.rays(_small(t), 1, 5).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
-
-
-@query("SELECT * FROM (VALUES (3), (4), (1)) AS x (id)")
-def graph_crosspoints(t: Tables) -> DataFrame:
-    return graph.crosspoints(_small(t), 2, 5, 3)
-
-
 def _trade(t: Tables) -> DataFrame:
     """Customers and the suppliers of what they ordered: vertices are numbers, suppliers negative."""
     lines = t.lineitem.select("l_orderkey", "l_suppkey").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
@@ -90,21 +42,7 @@ def graph_components(t: Tables) -> DataFrame:
     return graph.components(_chains(t))
 
 
-def _parts(t: Tables) -> DataFrame:
-    """Customers folded to at most 125 vertices: a dense little graph, for queries whose SQL states it; those beside them have the whole tables."""
-    return t.customer.select((F.col("c_custkey") % 97).alias("src"), (F.col("c_nationkey") + F.col("c_custkey") % 5 * 25).alias("dst")).where("src <> dst").distinct()
-
-
-_DENSE = "(SELECT DISTINCT c_custkey % 97 AS src, c_nationkey + c_custkey % 5 * 25 AS dst FROM customer WHERE c_custkey % 97 <> c_nationkey + c_custkey % 5 * 25)"
-_BOTH = f"b AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM {_DENSE} UNION ALL SELECT dst, src FROM {_DENSE}))"
-
-
-@query(f"WITH {_BOTH} SELECT x.src AS id, count(*) AS triangles FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN b z ON z.src = x.dst AND z.dst = y.dst GROUP BY x.src")
-def graph_triangles(t: Tables) -> DataFrame:
-    return graph.triangles(_parts(t))
-
-
-def _rank_sql(rounds: int, edges: str = _DENSE) -> str:
+def _rank_sql(rounds: int, edges: str) -> str:
     steps = [f"WITH e AS MATERIALIZED {edges}, v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS out FROM e GROUP BY src), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v)"]
     for k in range(1, rounds + 1):
         p = f"r{k - 1}"
@@ -112,17 +50,22 @@ def _rank_sql(rounds: int, edges: str = _DENSE) -> str:
     return ", ".join(steps) + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
 
 
-@query(_rank_sql(6))
+@query(_rank_sql(6, _TRADE))
 def graph_pagerank(t: Tables) -> DataFrame:
-    return graph.pagerank(_parts(t), 6).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(_trade(t), 6).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(_rank_sql(6, _TRADE))
-def graph_pagerank_trade(t: Tables) -> DataFrame:
-    return graph.pagerank(_trade(t), 6).select("id", F.round("rank", 9).alias("rank"))
+_TRADE_BOTH = f"e AS MATERIALIZED {_TRADE}, b AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
 
 
-@query()
+def _label_sql(rounds: int) -> str:
+    steps = [f"WITH {_TRADE_BOTH}, l0 AS (SELECT DISTINCT src AS id, src AS label FROM b)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"l{k} AS MATERIALIZED (SELECT id, arg_min(label, (-n, label)) AS label FROM (SELECT b.src AS id, l.label, count(*) AS n FROM b JOIN l{k - 1} l ON l.id = b.dst GROUP BY ALL) GROUP BY id)")
+    return ", ".join(steps) + f" SELECT id, label FROM l{rounds}"
+
+
+@query(_label_sql(5))
 def graph_label_propagation(t: Tables) -> DataFrame:
     return graph.label_propagation(_trade(t), 5)
 
@@ -132,21 +75,6 @@ def graph_k_core(t: Tables) -> DataFrame:
     return graph.k_core(_trade(t), 12)
 
 
-@query()
-def graph_closeness(t: Tables) -> DataFrame:
-    return graph.closeness(_together(t))
-
-
-@query()
-def graph_betweenness(t: Tables) -> DataFrame:
-    return graph.betweenness(_together(t))
-
-
-@query()
-def graph_louvain(t: Tables) -> DataFrame:
-    return graph.louvain(_together(t), rounds=4)
-
-
 # --- knowledge graphs --------------------------------------------------------------------------------------------------
 
 _NORM = "lower(trim(regexp_replace(name, '\\s+', ' ', 'g')))"
@@ -173,13 +101,18 @@ def kg_changed_chunks(t: Tables) -> DataFrame:
     return knowledge.changed_chunks(chunks, before).select("id", "hash")
 
 
-_REL = [("a", "b", "works_at"), ("b", "a", "works_at"), ("a", "c", "located_in"), ("c", "a", "located_in"), ("a", "d", "knows"), ("d", "b", "part_of")]
-_KIND = [("a", "Person"), ("b", "organization"), ("c", "location"), ("d", None)]
+_VERB_OF = (("person", "works_at"), ("organization", "located_in"), ("event", "causes"), ("concept", "part_of"))
 
 
-@query("SELECT * REPLACE (weight::DOUBLE AS weight) FROM (VALUES ('a','b','works_at',NULL,1.0), ('b','a','related_to','works_at',0.4), ('a','c','located_in',NULL,1.0), ('c','a','related_to','located_in',0.4), ('a','d','knows',NULL,1.0), ('d','b','part_of',NULL,1.0)) AS x (source, target, type, original_type, weight)")
+@query("WITH k AS (SELECT vertex_id AS id, lower(entity_type) AS kind FROM entity_graph), r (verb, s, t) AS (VALUES " + ", ".join(f"('{v}','{s}','{t}')" for v, own in knowledge.VERB_PAIRS.items() for s, t in own) + "), p AS (SELECT e.src, e.dst, a.kind AS sk, b.kind AS tk, CASE " + " ".join(f"WHEN a.kind = '{k}' THEN '{v}'" for k, v in _VERB_OF) + """ ELSE 'knows' END AS type FROM (SELECT DISTINCT a.id AS src, b.id AS dst FROM (SELECT DISTINCT vertex_id AS id, unnest(source_chunk) AS c FROM entity_graph) a JOIN (SELECT DISTINCT vertex_id AS id, unnest(source_chunk) AS c FROM entity_graph) b ON a.c = b.c AND a.id < b.id) e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst),
+j AS (SELECT *, type IN (SELECT verb FROM r) AND sk IN (SELECT s FROM r UNION SELECT t FROM r) AND tk IN (SELECT s FROM r UNION SELECT t FROM r) AND NOT EXISTS (SELECT 1 FROM r WHERE verb = type AND (s = '*' OR s = sk) AND (t = '*' OR t = tk)) AS bad FROM p)
+SELECT src AS source, dst AS target, CASE WHEN bad THEN 'related_to' ELSE type END AS type, CASE WHEN bad THEN type END AS original_type, CASE WHEN bad THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM j""")
 def kg_validate_relations(t: Tables) -> DataFrame:
-    return knowledge.validate_relations(t.spark.createDataFrame(_REL, "source string, target string, type string"), t.spark.createDataFrame(_KIND, "id string, type string"))
+    """Entities of one chunk, joined by the verb their first one's type suggests."""
+    kinds = t.entity_graph.select(F.col("vertex_id").alias("id"), F.col("entity_type").alias("type")).distinct()
+    verb = exprs.case_map(F.lower("type"), dict(_VERB_OF), "knows")
+    related = _together(t).join(kinds.select(F.col("id").alias("src"), verb.alias("verb")), "src").select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("verb").alias("type"))
+    return knowledge.validate_relations(related, kinds)
 
 
 @query("SELECT CASE WHEN regexp_matches(lower(entity_type), 'person|people') THEN 'Person' WHEN regexp_matches(lower(entity_type), 'org|company') THEN 'Organization' WHEN regexp_matches(lower(entity_type), 'place|location') THEN 'Place' ELSE 'Entity' END AS label, count(*) AS n FROM entity_graph GROUP BY 1")
@@ -223,51 +156,81 @@ def _joined(path: str) -> Column:
     return F.array_join(F.col(path).cast("array<string>"), ">").alias("path")
 
 
-@query()
-def graph_sql_paths_together(t: Tables) -> DataFrame:
+_LINKED = f"e AS MATERIALIZED ({_TOGETHER}), b AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
+_HUB = f"WITH RECURSIVE {_LINKED}, hub AS MATERIALIZED (SELECT src AS id FROM b GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
+_FAR = """, reach AS (SELECT id, 0 AS depth FROM hub UNION SELECT b.dst, r.depth + 1 FROM reach r JOIN b ON b.src = r.id WHERE r.depth < 5), near AS MATERIALIZED (SELECT id, min(depth) AS depth FROM reach GROUP BY id),
+far AS MATERIALIZED (SELECT id FROM near ORDER BY depth DESC, id LIMIT 1)"""
+_PATHS = ", walk AS (SELECT 0 AS depth, id AS node, [id] AS path FROM hub UNION ALL SELECT w.depth + 1, b.dst, list_append(w.path, b.dst) FROM walk w JOIN b ON b.src = w.node WHERE w.depth < 5 AND NOT list_contains(w.path, b.dst))"
+
+
+@query(_HUB + _PATHS + " SELECT depth, node::VARCHAR AS node, array_to_string(path, '>') AS path FROM walk WHERE depth <= 3")
+def graph_sql_paths(t: Tables) -> DataFrame:
     edges = _together(t)
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return SqlService(t.spark).paths(both, str(_hub(t)[0]), 3).select("depth", "node", F.array_join("path", ">").alias("path"))
 
 
-@query()
-def graph_simple_paths_together(t: Tables) -> DataFrame:
+@query(_HUB + _PATHS + " SELECT depth, array_to_string(path, '>') AS path FROM walk")
+def graph_simple_paths(t: Tables) -> DataFrame:
     return graph.simple_paths(_together(t), _hub(t)[0], 5, direction="both").select("depth", _joined("path"))
 
 
-@query()
-def graph_all_shortest_together(t: Tables) -> DataFrame:
+@query(_HUB + _FAR + _PATHS + " SELECT array_to_string(path, '>') AS path FROM walk WHERE node = (SELECT id FROM far) AND depth = (SELECT depth FROM near WHERE id = (SELECT id FROM far))")
+def graph_all_shortest(t: Tables) -> DataFrame:
     return graph.all_shortest_paths(_together(t), *_hub(t), direction="both", depth=5).select(_joined("path"))
 
 
-@query()
-def graph_weighted_shortest_together(t: Tables) -> DataFrame:
+@query(_HUB + f""", w AS MATERIALIZED (SELECT a.id AS src, c.id AS dst, count(*)::DOUBLE AS w FROM {_MENTION} a JOIN {_MENTION} c ON a.chunk_id = c.chunk_id AND a.id <> c.id GROUP BY ALL),
+best AS (SELECT id, 0::DOUBLE AS distance FROM hub UNION SELECT w.dst, r.distance + w.w FROM best r JOIN w ON w.src = r.id WHERE r.distance < 200) SELECT id, min(distance) AS distance FROM best GROUP BY id""")
+def graph_weighted_shortest(t: Tables) -> DataFrame:
     """Weights are the numbers of chunks that two entities share."""
     m = _mentions(t)
     edges = m.select(F.col("id").alias("src"), "chunk_id").join(m.select(F.col("id").alias("dst"), "chunk_id"), "chunk_id").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
     return graph.shortest_distances(edges, t.spark.createDataFrame([(_hub(t)[0],)], "id bigint"), "w", "both").select("id", "distance")
 
 
-@query()
-def graph_rings_together(t: Tables) -> DataFrame:
+@query(_HUB + _PATHS + " SELECT array_to_string(path, '>') AS path, depth + 1 AS depth FROM walk WHERE depth BETWEEN 1 AND 4 AND node IN (SELECT src FROM b WHERE dst = (SELECT id FROM hub))")
+def graph_rings(t: Tables) -> DataFrame:
     return graph.rings(_together(t), _hub(t)[0], 5, "both").select(_joined("path"), "depth")
 
 
-@query()
-def graph_rays_together(t: Tables) -> DataFrame:
+@query(_HUB + _PATHS + " SELECT array_to_string(path, '>') AS path FROM walk WHERE depth > 0 AND path NOT IN (SELECT path[:-2] FROM walk WHERE depth > 1)")
+def graph_rays(t: Tables) -> DataFrame:
     return graph.rays(_together(t), _hub(t)[0], 5, "both").select(_joined("path"))
 
 
-@query()
-def graph_crosspoints_together(t: Tables) -> DataFrame:
+@query(_HUB + _FAR + """, back AS (SELECT id, 0 AS depth FROM far UNION SELECT b.dst, r.depth + 1 FROM back r JOIN b ON b.src = r.id WHERE r.depth < 3)
+SELECT DISTINCT back.id FROM back JOIN near USING (id) WHERE near.depth <= 3 AND id <> (SELECT id FROM hub) AND id <> (SELECT id FROM far)""")
+def graph_crosspoints(t: Tables) -> DataFrame:
     return graph.crosspoints(_together(t), *_hub(t), 3, "both")
 
 
-@query(f"WITH b AS MATERIALIZED (SELECT src, dst FROM ({_TOGETHER}) UNION ALL SELECT dst, src FROM ({_TOGETHER})) SELECT x.src AS id, count(*) AS triangles FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN b z ON z.src = x.dst AND z.dst = y.dst GROUP BY x.src")
-def graph_triangles_together(t: Tables) -> DataFrame:
+@query(f"WITH {_LINKED} SELECT x.src AS id, count(*) AS triangles FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN b z ON z.src = x.dst AND z.dst = y.dst GROUP BY x.src")
+def graph_triangles(t: Tables) -> DataFrame:
     return graph.triangles(_together(t))
 
 
+#: All pairs of a component with their distance, and the number of shortest ways between them.
+_ALL = f"WITH RECURSIVE {_LINKED}, r AS (SELECT DISTINCT src AS s, src AS t, 0 AS d FROM b UNION SELECT r.s, b.dst, r.d + 1 FROM r JOIN b ON b.src = r.t WHERE r.d < 20), far AS MATERIALIZED (SELECT s, t, min(d) AS d FROM r GROUP BY s, t)"
+
+
+@query(_ALL + " SELECT s AS id, round(count(*) / sum(d), 6)::DOUBLE AS closeness FROM far WHERE d > 0 GROUP BY s")
+def graph_closeness(t: Tables) -> DataFrame:
+    return graph.closeness(_together(t))
+
+
+@query(_ALL + """, walk AS (SELECT s, s AS t, 0 AS d FROM far WHERE d = 0 UNION ALL SELECT w.s, b.dst, w.d + 1 FROM walk w JOIN b ON b.src = w.t JOIN far f ON f.s = w.s AND f.t = b.dst AND f.d = w.d + 1),
+g AS MATERIALIZED (SELECT s, t, d, count(*) AS n FROM walk GROUP BY s, t, d)
+SELECT v.s AS id, round(coalesce(sum(x.n::DOUBLE * y.n / z.n), 0) / 2, 6) AS betweenness FROM (SELECT DISTINCT s FROM g) v LEFT JOIN (g x JOIN g y ON x.t = y.s AND x.d > 0 AND y.d > 0 JOIN g z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d) ON x.t = v.s GROUP BY v.s""")
+def graph_betweenness(t: Tables) -> DataFrame:
+    return graph.betweenness(_together(t))
+
+
+@query()
+def graph_louvain(t: Tables) -> DataFrame:
+    return graph.louvain(_together(t), rounds=4)
+
+
 @query(f"""WITH e AS ({_TOGETHER}), v AS (SELECT DISTINCT vertex_id AS id FROM entity_graph), l AS (SELECT src AS id FROM e UNION SELECT dst FROM e)
 SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM v WHERE id NOT IN (SELECT id FROM l))::DOUBLE / (SELECT count(*) FROM v), 6) AS orphan_rate, round(2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM v), 6)::DOUBLE AS avg_degree""")
 def kg_quality(t: Tables) -> DataFrame:
@@ -297,5 +260,5 @@ def kg_resolved(t: Tables) -> DataFrame:
     names = t.entity_graph.select(exprs.normalized_name(F.col("name")).alias("norm")).distinct()
     letters = F.array_join(F.array_sort(F.split(F.regexp_replace("norm", r"[^\p{L}]", ""), "")), "")
     keyed = names.withColumn("letters", letters)
-    links = keyed.select(F.col("norm").alias("src"), "letters").join(keyed.select(F.col("norm").alias("dst"), "letters"), "letters").where("src < dst").select("src", "dst")
-    return knowledge.canonical_names(names, graph.components(links))
+    first = keyed.groupBy("letters").agg(F.min("norm").alias("src"))  # each name is linked to the first of its letters, not to all
+    return knowledge.canonical_names(names, graph.components(keyed.join(first, "letters").select("src", F.col("norm").alias("dst"))))

@@ -48,7 +48,7 @@ def walk(near, source):
 
 
 def test_every_key_is_a_vertex(spark, trade):
-    for name in ("graph_pagerank_trade", "graph_label_propagation"):
+    for name in ("graph_pagerank", "graph_label_propagation"):
         assert {r.id for r in run(spark, name).collect()} == set(trade)
 
 
@@ -101,14 +101,14 @@ def test_traversals_from_a_hub(spark, together):
         paths += front
     text = lambda p: ">".join(map(str, p))
     got = lambda name: sorted(r.path for r in run(spark, name).collect())
-    assert got("graph_simple_paths_together") == sorted(map(text, paths))
-    assert got("graph_sql_paths_together") == sorted(text(p) for p in paths if len(p) <= 4)
-    assert got("graph_rings_together") == sorted(text(p) for p in paths if 2 <= len(p) <= 5 and hub in together[p[-1]])
-    assert got("graph_rays_together") == sorted(text(p) for p in paths if len(p) > 1 and (len(p) == 6 or not together[p[-1]] - set(p)))
-    assert got("graph_all_shortest_together") == sorted(text(p) for p in paths if p[-1] == far and len(p) == depth[far] + 1)
-    assert {r.id for r in run(spark, "graph_weighted_shortest_together").collect()} == set(depth)
+    assert got("graph_simple_paths") == sorted(map(text, paths))
+    assert got("graph_sql_paths") == sorted(text(p) for p in paths if len(p) <= 4)
+    assert got("graph_rings") == sorted(text(p) for p in paths if 2 <= len(p) <= 5 and hub in together[p[-1]])
+    assert got("graph_rays") == sorted(text(p) for p in paths if len(p) > 1 and (len(p) == 6 or not together[p[-1]] - set(p)))
+    assert got("graph_all_shortest") == sorted(text(p) for p in paths if p[-1] == far and len(p) == depth[far] + 1)
+    assert {r.id for r in run(spark, "graph_weighted_shortest").collect()} == set(depth)
     back = walk(together, far)[0]
-    assert {r.id for r in run(spark, "graph_crosspoints_together").collect()} == {v for v in depth if v not in (hub, far) and depth[v] <= 3 and back[v] <= 3}
+    assert {r.id for r in run(spark, "graph_crosspoints").collect()} == {v for v in depth if v not in (hub, far) and depth[v] <= 3 and back[v] <= 3}
 
 
 def test_long_chains_are_walked_to_their_end(spark):
