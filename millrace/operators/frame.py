@@ -7,8 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from millrace.operators.dedup import best_of, last_of
 from millrace.operators.guards import Rejected, check_name, check_sql, check_where
 
 _AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -104,10 +104,9 @@ class LazyFrame:
         return self._with(self.df.dropDuplicates(self._known(*columns)) if columns else self.df.distinct())
 
     def first_by(self, columns: Sequence[str], order_by: str, desc: bool = False) -> LazyFrame:
-        """One row per key, the first in an order; ties by all columns, so that it is always the same row."""
+        """One row per key, the first in an order; ties by all columns, so that it is always the same row; nulls come last either way."""
         self._known(*columns, order_by)
-        rank = Window.partitionBy(*columns).orderBy(F.desc_nulls_last(order_by) if desc else F.asc_nulls_last(order_by), *self.df.columns)
-        return self._with(self.df.withColumn("__n", F.row_number().over(rank)).where("__n = 1").drop("__n"))
+        return self._with(best_of(self.df, columns, F.struct(F.col(order_by).isNull().alias("n"), order_by)) if not desc else last_of(self.df, columns, order_by))
 
     def pivot(self, group_by: Sequence[str], pivot_col: str, value_col: str, agg_fn: str = "sum", names: Sequence | None = None) -> LazyFrame:
         """``names`` spares the pass that finds the values."""

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from millrace.operators.dedup import last_of, later
 
 
 # --- rules: what violates them --------------------------------------------------------------------------------------
@@ -25,8 +26,8 @@ class Rule:
     action: str = "flag"
     params: Mapping = field(default_factory=dict)
 
-    def violated(self, order: Sequence[str] = ()) -> Column:
-        """True where a row violates the rule; a null never does. Duplicates are later rows in ``order`` with the same value."""
+    def violated(self) -> Column:
+        """True where a row violates the rule; a null never does. Duplicates have been marked by :func:`_marked`."""
         value = F.col(self.column)
         low, high = self.params.get("min"), self.params.get("max")
         if self.kind in ("length", "range"):
@@ -37,26 +38,46 @@ class Rule:
             found = value.rlike(self.params["pattern"])
             found = ~found if self.params.get("invert") else found
         elif self.kind == "duplicate":
-            found = value.isNotNull() & (value.cast("string") != "") & (F.row_number().over(Window.partitionBy(self.column).orderBy(*order)) > 1)
+            found = F.col(f"__later_{self.column}")
         else:
             raise ValueError(f"unknown rule: {self.kind}")
         return F.coalesce(found, F.lit(False))
 
 
+def _marked(df: DataFrame, rules: Sequence[Rule], order: Sequence[str]) -> DataFrame:
+    """``df`` with a mark of later rows in ``order`` for each column with a duplicate rule; empty values are never duplicates."""
+    for column in dict.fromkeys(r.column for r in rules if r.kind == "duplicate"):
+        keyed = df.withColumn("__value", F.when(F.col(column).cast("string") != "", F.col(column)))
+        df = later(keyed, "__value", order, f"__later_{column}").drop("__value")
+    return df
+
+
 def evaluate_rules(df: DataFrame, rules: Sequence[Rule], order: Sequence[str]) -> DataFrame:
-    """``rule``, ``action``, ``violations`` of each rule with any; rules on columns that aren't there are left out. One pass."""
+    """``rule``, ``action``, ``violations`` of each rule with any; rules on columns that aren't there are left out.
+
+    One pass for all rules but duplicates, of which each column's are values less distinct values: an aggregation.
+    """
     usable = [r for r in rules if r.column in df.columns]
-    marked = df.select(*[r.violated(order).alias(f"r{k}") for k, r in enumerate(usable)])
-    counted = marked.agg(*[F.count_if(f"r{k}").alias(f"r{k}") for k in range(len(usable))])
-    rows = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"), F.col(f"r{k}").alias("violations")) for k, r in enumerate(usable)]
-    return counted.select(F.inline(F.array(*rows))).where("violations > 0")
+    if not usable:
+        return df.sparkSession.createDataFrame([], "rule string, action string, violations bigint")
+    name = lambda r: [F.lit(r.name).alias("rule"), F.lit(r.action).alias("action")]
+    plain = [r for r in usable if r.kind != "duplicate"]
+    parts = []
+    if plain:
+        counted = df.agg(*[F.count_if(r.violated()).alias(f"r{k}") for k, r in enumerate(plain)])
+        parts.append(counted.select(F.inline(F.array(*[F.struct(*name(r), F.col(f"r{k}").alias("violations")) for k, r in enumerate(plain)]))))
+    for r in usable:
+        if r.kind == "duplicate":
+            value = F.when(F.col(r.column).cast("string") != "", F.col(r.column))
+            parts.append(df.groupBy(value.alias("v")).agg(F.count("*").alias("n")).where("v is not null").agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(*name(r), "violations"))
+    return reduce(DataFrame.unionByName, parts).where("violations > 0")
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule], order: Sequence[str]) -> DataFrame:
     """Rows that no rejecting or removing rule hits; those that only flag stay."""
     hard = [r for r in rules if r.action in ("reject", "remove") and r.column in df.columns]
-    marked = df.withColumn("__hit", reduce(lambda a, b: a | b, [r.violated(order) for r in hard], F.lit(False)))
-    return marked.where("not __hit").drop("__hit")
+    hit = reduce(lambda a, b: a | b, [r.violated() for r in hard], F.lit(False))
+    return _marked(df, hard, order).where(~hit).select(*df.columns)
 
 
 # --- filters: what passes them ---------------------------------------------------------------------------------------
@@ -188,6 +209,11 @@ def dead_letters(gated: DataFrame, filter_name: str = "gate", at: Column | None
 
 
 def latest_letters(log: DataFrame, key: str = "key", time: str = "at", most_retries: int = 3) -> DataFrame:
-    """The last state of each key of an append-only log, with ``can_retry``."""
-    last = Window.partitionBy(key).orderBy(F.desc(time), F.desc("state"))
-    return log.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n").withColumn("can_retry", (F.col("state") == "pending") & (F.col("retries") < most_retries))
+    """The last state of each key of an append-only log (of one time the greatest by its columns), with ``can_retry``."""
+    return last_of(log, [key], time).withColumn("can_retry", (F.col("state") == "pending") & (F.col("retries") < most_retries))
+
+
+def confidence_gate(parsed: DataFrame, grade: str = "grade", least: float = 0.5, attempts: str = "attempts", most: int = 2) -> DataFrame:
+    """Parsed documents with ``_parse``: accepted, retry (while fewer than ``most`` attempts were made) or low_confidence; a missing grade is low."""
+    good = F.coalesce(F.col(grade) >= least, F.lit(False))
+    return parsed.withColumn("_parse", F.when(good, "accepted").when(F.coalesce(F.col(attempts), F.lit(0)) < most, "retry").otherwise("low_confidence"))

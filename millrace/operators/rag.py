@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import exprs
+from millrace.operators import search
+from millrace.operators.dedup import keep_best
+from millrace.operators.guards import Rejected
 from millrace.operators.search import K1, B
+from millrace.sources.store import Store
 
 #: Columns that hold a score, the first present one counts.
 SCORES = ("_rerank_score", "_rrf_score", "_ensemble_score", "_score", "_distance")
@@ -73,22 +77,71 @@ def expand(question: str, variants: Callable[[str], Sequence[str]] | None = None
 
 
 def batch_retrieve(questions: DataFrame, index: DataFrame, top_k: int = 3, key: str = "doc_id", question: str = "question", id: str = "item_id") -> DataFrame:
-    """For each question its ``top_k`` best texts by BM25: one join on terms for all questions together.
+    """For each question its ``top_k`` best texts by BM25 (ties by key): one join on terms for all questions together.
 
-    Terms that stand in more than a twentieth of the texts tell nothing apart and leave the join only for questions that
-    have rarer ones.
+    The postings of a text lie in one task, so a question's score for it is added up there, and of each task only the
+    ``top_k`` best of a question are shuffled; terms that most texts have count like all others.
     """
     asked = questions.select(id, F.explode(F.array_distinct(exprs.terms(F.col(question)))).alias("term"))
-    texts = index.select(key, "length").distinct()
-    whole = texts.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    rarity = index.groupBy("term").agg(F.count("*").alias("df")).join(whole)
-    rare = asked.join(rarity, "term").withColumn("common", F.col("df") > F.col("docs") / 20)
-    rare = rare.withColumn("any", F.min("common").over(Window.partitionBy(id))).where(~F.col("common") | F.col("any"))
+    whole = index.groupBy(key).agg(F.first("length").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    rarity = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weighed = asked.join(rarity, "term").join(whole)
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = rare.join(index, "term").groupBy(id, key).agg(F.round(F.sum(part), 6).alias("_score"))
+    scored = index.join(weighed, "term").groupBy(key, id).agg(F.round(F.sum(part), 6).alias("_score"))
     best = Window.partitionBy(id).orderBy(F.desc("_score"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select(id, key, "_score", "rank")
+
+
+def retrieve(df: DataFrame, question: str, strategy: str = "hybrid", vector_query: Sequence[float] | None = None, top_k: int = 10, vector: str = "text_embedding", text: str = "text_content", where: str | None = None, key: str = "id") -> DataFrame:
+    """Rows for a question by ``fts``, ``vector`` or ``hybrid`` search; where hybrid finds nothing, by vector alone."""
+    if strategy == "fts":
+        return search.text_search(df, question, top_k, text, where, key=key)
+    if vector_query is None:
+        raise Rejected(f"{strategy} search needs a query vector")
+    if strategy == "vector":
+        return search.vector_search(df, vector_query, top_k, vector=vector, where=where, key=key)
+    if strategy != "hybrid":
+        raise Rejected(f"unknown strategy: {strategy}")
+    found = search.hybrid_search(df, question, vector_query, top_k, vector, text, where, key)
+    return search.vector_search(df, vector_query, top_k, vector=vector, where=where, key=key) if found.isEmpty() else found
+
+
+def merge_retrievals(found: Sequence[DataFrame], keys: Sequence[str], tie: str) -> DataFrame:
+    """What several searches found, each key once with its greatest score (``score``); columns that some lack are null."""
+    scored = [f.withColumn("score", score_column(f)) for f in found]
+    every = scored[0]
+    for f in scored[1:]:
+        every = every.unionByName(f, allowMissingColumns=True)
+    return keep_best(every, keys, "score", tie)
+
+
+TURN, FEEDBACK = "session_id string, turn bigint, role string, content string, created_at double", "session_id string, turn bigint, rating int, comment string, created_at double"
+
+
+class Sessions:
+    """Conversations and feedback as two append-only tables of a store."""
+
+    def __init__(self, store: Store) -> None:
+        self.store = store
+
+    def _add(self, name: str, rows: Sequence[tuple], schema: str) -> DataFrame:
+        df = self.store.spark.createDataFrame(list(rows), schema)
+        return self.store.append(name, df) if self.store.exists(name) else self.store.create(name, df)
+
+    def say(self, session: str, role: str, content: str, at: float) -> int:
+        """Add a turn; its number."""
+        turn = self.turns(session).count() + 1
+        self._add("_rag_turns", [(session, turn, role, content, at)], TURN)
+        return turn
+
+    def turns(self, session: str) -> DataFrame:
+        if not self.store.exists("_rag_turns"):
+            return self.store.spark.createDataFrame([], TURN)
+        return self.store.read("_rag_turns").where(F.col("session_id") == session).orderBy("turn")
+
+    def rate(self, session: str, turn: int, rating: int, comment: str, at: float) -> DataFrame:
+        return self._add("_rag_feedback", [(session, turn, rating, comment, at)], FEEDBACK)
 
 
 def batch_answer(questions: DataFrame, index: DataFrame, texts: DataFrame, generate: Callable[[Column, Column], Column], top_k: int = 3, key: str = "doc_id", text: str = "text", question: str = "question", id: str = "item_id") -> DataFrame:

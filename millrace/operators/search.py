@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import exprs
 from millrace.operators.guards import Rejected, check_where
+from millrace.session import materialize
 
 
 def check_vector(query: Sequence[float], dimensions: int | None = None) -> list[float]:
@@ -73,14 +76,46 @@ def ivf_fit(df: DataFrame, vector: str, partitions: int, sample: int = 20_000, s
 
 
 def _nearest(vector: Column, centers: np.ndarray) -> Column:
-    table = F.array(*[F.struct(exprs.dot(vector, F.array(*[F.lit(float(x)) for x in c])).alias("s"), F.lit(-k).alias("k")) for k, c in enumerate(centers)])
-    return -F.array_max(table)["k"]
+    """The list of a vector, by batches: the centers, at most 4096 rows of numbers, go along with the function."""
+
+    def own(vectors: pd.Series) -> pd.Series:
+        found = np.full(len(vectors), -1, dtype=np.int32)
+        good = np.array([v is not None and len(v) == centers.shape[1] for v in vectors], dtype=bool)
+        if good.any():
+            found[good] = (np.stack(vectors[good].to_numpy()).astype(np.float64) @ centers.T).argmax(axis=1)
+        return pd.Series(found)
+
+    own.__annotations__ = {"vectors": pd.Series, "return": pd.Series}
+    return F.pandas_udf(own, "int")(vector)
 
 
 def ivf_build(df: DataFrame, path: str, vector: str, centers: np.ndarray) -> DataFrame:
-    """Write the rows partitioned by list, so that a search reads only the folders it probes."""
-    df.withColumn("list_no", _nearest(F.col(vector), centers)).write.mode("overwrite").partitionBy("list_no").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write the rows partitioned by list, so that a search reads only the folders it probes; the centers stand beside them.
+
+    Rows without a vector of the centers' width are in list -1, which no search probes.
+    """
+    df.withColumn("list_no", _nearest(F.col(vector), centers)).write.mode("overwrite").partitionBy("list_no").parquet(f"{path}/lists")
+    rows = [(k, [float(x) for x in c], vector) for k, c in enumerate(centers)]
+    df.sparkSession.createDataFrame(rows, "list_no int, center array<double>, vector string").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+    return df.sparkSession.read.parquet(f"{path}/lists")
+
+
+def ivf_open(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray, str]:
+    """(rows by list, centers, vector column) of an index that was built."""
+    rows = spark.read.parquet(f"{path}/centers").orderBy("list_no").collect()  # at most 4096
+    return spark.read.parquet(f"{path}/lists"), np.array([r.center for r in rows]), rows[0].vector
+
+
+def ivf_info(spark: SparkSession, path: str) -> DataFrame:
+    """What an index holds: ``index_type``, ``vector``, ``dimensions``, ``lists``, ``rows``, ``largest_list``."""
+    index, centers, vector = ivf_open(spark, path)
+    sizes = index.where("list_no >= 0").groupBy("list_no").agg(F.count("*").alias("n"))
+    return sizes.agg(F.lit("IVF_FLAT").alias("index_type"), F.lit(vector).alias("vector"), F.lit(centers.shape[1]).alias("dimensions"), F.lit(len(centers)).alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_list"))
+
+
+def ivf_drop(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
 
 
 def ivf_search(index: DataFrame, centers: np.ndarray, query: Sequence[float], top_k: int = 10, nprobe: int | None = None, **search: object) -> DataFrame:
@@ -95,33 +130,83 @@ def ivf_search(index: DataFrame, centers: np.ndarray, query: Sequence[float], to
 K1, B = 1.2, 0.75
 
 
-def postings(df: DataFrame, text: str = "text_content", key: str = "id") -> DataFrame:
-    """``key``, ``term``, ``tf``, ``length``: an index of a text column, a row per term of a text."""
+def postings(df: DataFrame, text: str = "text_content", key: str = "id", stop: Sequence[str] = (), positions: bool = False) -> DataFrame:
+    """``key``, ``term``, ``length``, ``tf``: an index of a text column, a row per term of a text, all of a text in one task.
+
+    Terms in ``stop`` aren't indexed, though they count in a text's length; with ``positions`` there is a list of places
+    (from 0), which :func:`phrase_search` needs. A null text and one without terms have no rows; texts of one key count as one.
+    """
     own = df.select(key, exprs.terms(F.col(text)).alias("terms")).where(F.size("terms") > 0)
-    return own.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    each = own.select(key, F.size("terms").alias("length"), F.posexplode("terms").alias("at", "term"))
+    each = each.where(~F.col("term").isin(*stop)) if stop else each
+    lists = [F.array_sort(F.collect_list("at")).alias("positions")] if positions else []
+    # shuffled by key alone: what is joined and added up by text afterwards needs no further shuffle
+    return each.repartition(key).groupBy(key, "term", "length").agg(F.count("*").alias("tf"), *lists)
+
+
+def asked_terms(query: str, spark: SparkSession) -> list[str]:
+    """The distinct terms of a query."""
+    return spark.range(1).select(F.array_distinct(exprs.terms(F.lit(query))).alias("t")).first()["t"]
+
+
+def _part(tf: Column, df: Column, length: Column, docs: Column, mean: Column) -> Column:
+    return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def bm25(index: DataFrame, query: str, top_k: int | None = 10, offset: int = 0, key: str = "id") -> DataFrame:
     """``key``, ``_score``, descending, ties by key: BM25 over postings. A query without terms finds nothing."""
     if top_k is not None and top_k < 1:
         raise Rejected("top_k is at least 1")
-    spark = index.sparkSession
-    asked = spark.range(1).select(F.explode(F.array_distinct(exprs.terms(F.lit(query)))).alias("term"))
-    texts = index.select(key, "length").distinct()
+    asked = asked_terms(query, index.sparkSession)
+    texts = index.groupBy(key).agg(F.first("length").alias("length"))
     whole = texts.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))  # one row
-    hits = index.join(asked, "term")
+    hits = index.where(F.col("term").isin(*asked) if asked else F.lit(False))
     rarity = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row per term of the query
     scored = hits.join(rarity, "term").join(whole)
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    part = _part(F.col("tf"), F.col("df"), F.col("length"), F.col("docs"), F.col("mean"))
     found = scored.groupBy(key).agg(F.sum(part).alias("_score")).orderBy(F.desc("_score"), key)
     return found.offset(offset).limit(top_k) if top_k is not None else found
 
 
+def matches(df: DataFrame, query: str, text: str = "text_content", key: str = "id") -> DataFrame:
+    """``key``, ``_score`` of all texts with a term of the query, without an index: BM25 in one pass over the texts.
+
+    A text is cut into terms where it is read; only the numbers of the query's terms in it leave that task, and the
+    statistics of the whole table are a few sums. Keys are unique.
+    """
+    asked = asked_terms(query, df.sparkSession)
+    own = df.select(key, exprs.terms(F.col(text)).alias("terms")).where(F.size("terms") > 0)
+    if not asked:
+        return own.select(key, F.lit(0.0).alias("_score")).limit(0)
+    # only the terms asked for are counted one by one
+    kept = own.select(key, F.size("terms").alias("length"), F.filter("terms", lambda w: w.isin(*asked)).alias("hit"))
+    times = lambda q: F.size(F.filter("hit", lambda w: w == F.lit(q)))
+    tf = F.array(*[times(q) for q in asked])
+    counted = materialize(kept.select(key, "length", F.when(F.size("hit") > 0, tf).alias("tf")), "hits")
+    sums = counted.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.get("tf", F.lit(k)) > 0).alias(f"d{k}") for k in range(len(asked))])  # one row
+    parts = [F.when(F.get("tf", F.lit(k)) > 0, _part(F.get("tf", F.lit(k)), F.col(f"d{k}"), F.col("length"), F.col("docs"), F.col("mean"))).otherwise(0.0) for k in range(len(asked))]
+    return counted.where("tf is not null").join(sums).select(key, reduce(lambda a, b: a + b, parts).alias("_score"))
+
+
 def text_search(df: DataFrame, query: str, top_k: int = 10, text: str = "text_content", where: str | None = None, offset: int = 0, key: str = "id") -> DataFrame:
     """Rows with ``_score``; the statistics are those of the filtered rows."""
+    if top_k < 1:
+        raise Rejected("top_k is at least 1")
     rows = df.where(F.expr(check_where(where))) if where else df
-    return rows.join(bm25(postings(rows, text, key), query, top_k, offset, key), key)
+    best = matches(rows, query, text, key).orderBy(F.desc("_score"), key).offset(offset).limit(top_k)
+    return rows.join(best, key)
+
+
+def phrase_search(index: DataFrame, phrase: str, key: str = "id") -> DataFrame:
+    """``key``, ``times``: texts in which the phrase's terms follow each other, by an index with positions."""
+    asked = index.sparkSession.range(1).select(exprs.terms(F.lit(phrase)).alias("t")).first()["t"]
+    if not asked:
+        return index.select(key, F.lit(0).cast("bigint").alias("times")).limit(0)
+    at = {q: [k for k, x in enumerate(asked) if x == q] for q in asked}
+    shifted = F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(q), F.array(*[F.lit(k) for k in ks])) for q, ks in at.items()]))[F.col("term")])
+    starts = index.where(F.col("term").isin(*at)).select(key, "positions", shifted.alias("shift")).select(key, F.explode("positions").alias("p"), "shift")
+    begun = starts.groupBy(key, (F.col("p") - F.col("shift")).alias("start")).agg(F.count("*").alias("n")).where((F.col("n") == len(asked)) & (F.col("start") >= 0))
+    return begun.groupBy(key).agg(F.count("*").alias("times"))
 
 
 # --- fusion -------------------------------------------------------------------------------------------------------------

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import rag, search
 from millrace.plans.registry import Tables, query
+from millrace.session import shared_dir
 
 
 def _q(t: Tables) -> list[float]:
@@ -34,40 +37,35 @@ def vector_dot(t: Tables) -> DataFrame:
 @query(_VEC.format(d="1 - list_cosine_similarity(e.embedding::DOUBLE[], q::DOUBLE[])", w=""))
 def vector_ivf_all_probes(t: Tables) -> DataFrame:
     centers = search.ivf_fit(t.embeddings, "embedding", 16, key="vec_id")
-    index = t.embeddings.withColumn("list_no", search._nearest(F.col("embedding"), centers))
+    folder = f"{shared_dir(t.spark)}/millrace/ivf-{uuid.uuid4().hex}"
+    index = search.ivf_build(t.embeddings, folder, "embedding", centers)
     return search.ivf_search(index, centers, _q(t), 10, 16, vector="embedding", key="vec_id").select("vec_id", (F.round("_distance", 5) + F.lit(0.0)).alias("d"))
 
 
-_TERMS = "(SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE NOT regexp_matches(text, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]'))"
-_BM25 = f"""WITH d AS (SELECT * FROM {_TERMS} WHERE len(ws) > 0), n AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM d),
-p AS (SELECT doc_id, w, count(*) AS tf, any_value(len(ws)) AS len FROM (SELECT doc_id, ws, unnest(ws) AS w FROM d) WHERE w IN ('hash', 'joins', 'annex') GROUP BY doc_id, w),
-f AS (SELECT w, count(*) AS df FROM p GROUP BY w)
-SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM p JOIN f USING (w), n GROUP BY doc_id"""
+def _terms_sql(text: str) -> str:
+    """The list of a text's terms: runs of letters and digits, those with Han or kana as overlapping pairs."""
+    cjk = "[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]"
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"flatten(list_transform({words}, lambda w: CASE WHEN regexp_matches(w, '{cjk}') THEN list_transform(generate_series(1, greatest(length(w) - 1, 1)), lambda i: substr(w, i, 2)) ELSE [w] END))"
 
 
-def _latin(t: Tables) -> DataFrame:
-    return t.documents.where(~F.col("text").rlike(r"[぀-ヿ㐀-鿿]"))
+_INDEX = f"""d AS MATERIALIZED (SELECT * FROM (SELECT doc_id, {_terms_sql("text")} AS ws FROM documents WHERE text IS NOT NULL) WHERE len(ws) > 0), n AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM d),
+p AS MATERIALIZED (SELECT doc_id, w, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS w FROM d) GROUP BY doc_id, w)"""
+_WEIGHT = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))"
+_BM25 = f"""WITH {_INDEX}, f AS (SELECT w, count(*) AS df FROM p WHERE w IN ('hash', 'joins', 'annex', '向量', '量索', '索引') GROUP BY w)
+SELECT doc_id, round(sum({_WEIGHT}), 6) AS score FROM p JOIN f USING (w), n GROUP BY doc_id"""
+_ASKED = "Hash joins, annex 向量索引"
 
 
 @query(_BM25)
 def fts_bm25_scores(t: Tables) -> DataFrame:
-    return search.bm25(search.postings(_latin(t), "text", "doc_id"), "Hash joins, annex", None, key="doc_id").select("doc_id", F.round("_score", 6).alias("score"))
-
-
-@query()
-def fts_bm25_all(t: Tables) -> DataFrame:
-    """All documents, those with Han or kana too, which the SQL of fts_bm25_scores leaves out."""
-    return search.bm25(search.postings(t.documents, "text", "doc_id"), "Hash joins, annex", None, key="doc_id").select("doc_id", F.round("_score", 6).alias("score"))
-
-
-@query()
-def fts_top_all(t: Tables) -> DataFrame:
-    return search.text_search(t.documents, "Hash joins, annex", 20, "text", key="doc_id").select("doc_id", F.round("_score", 6).alias("score"))
+    return search.bm25(search.postings(t.documents, "text", "doc_id"), _ASKED, None, key="doc_id").select("doc_id", F.round("_score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, score FROM ({_BM25}) ORDER BY score DESC, doc_id LIMIT 20")
 def fts_top(t: Tables) -> DataFrame:
-    return search.text_search(_latin(t), "Hash joins, annex", 20, "text", key="doc_id").select("doc_id", F.round("_score", 6).alias("score"))
+    scored = search.matches(t.documents, _ASKED, "text", "doc_id").select("doc_id", F.round("_score", 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, '向量索引')")
@@ -131,11 +129,13 @@ def context_assembled(t: Tables) -> DataFrame:
     return rag.assemble(rows, ["source"], "title", "score", "doc_id", 5)
 
 
-@query("""WITH a (id, text) AS (VALUES (1, 'The index was rebuilt [1]. Nobody noticed it at all. Costs fell [2][9]. Short.'), (2, 'No sources are given here. None at all.'), (3, NULL)), s AS (SELECT id, unnest(regexp_split_to_array(text, '[.]\\s*')) AS x FROM a)
-SELECT id, count(*) FILTER (length(x) > 5) AS sentences, count(*) FILTER (length(x) > 5 AND regexp_matches(x, '\\[[1-3]\\]')) AS supported FROM s WHERE x <> '' GROUP BY id""")
+@query("""WITH a AS (SELECT doc_id, replace(text, '. ', ' [' || doc_id % 5 || ']. ') AS text FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), '([。！？])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 6)) AS x FROM a),
+c AS (SELECT doc_id, count(*) AS sentences, count(*) FILTER (regexp_matches(x, '\\[[1-3]\\]')) AS supported FROM s GROUP BY doc_id) SELECT doc_id, coalesce(sentences, 0) AS sentences, coalesce(supported, 0) AS supported FROM a LEFT JOIN c USING (doc_id)""")
 def citations_verified(t: Tables) -> DataFrame:
-    answers = t.spark.createDataFrame([(1, "The index was rebuilt [1]. Nobody noticed it at all. Costs fell [2][9]. Short."), (2, "No sources are given here. None at all."), (3, None)], "id int, text string")
-    return rag.verify(answers, "id", "text", 3).where("sentences is not null").select("id", "sentences", "supported")
+    """Every text as an answer whose sentences refer to a source by number; there are three sources."""
+    answers = t.documents.where("text is not null").select("doc_id", F.replace("text", F.lit(". "), F.concat(F.lit(" ["), F.col("doc_id") % 5, F.lit("]. "))).alias("text"))
+    return rag.verify(answers, "doc_id", "text", 3).select("doc_id", "sentences", "supported")
 
 
 @query("""WITH r AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS turn FROM documents WHERE lang IS NOT NULL), b AS (SELECT *, sum(length(text) // 4) OVER (PARTITION BY lang ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM r WHERE turn > (SELECT max(turn) FROM r x WHERE x.lang = r.lang) - 6)
@@ -145,7 +145,9 @@ def history_budget(t: Tables) -> DataFrame:
     return rag.history(turns, ["lang"], [F.desc("n_chars"), F.asc("doc_id")], 4000, 0.2, 6).select("lang", "turn", "doc_id")
 
 
-@query()
+@query(f"""WITH {_INDEX}, q AS (SELECT DISTINCT item_id, unnest({_terms_sql("item_text")}) AS w FROM eval_items), f AS (SELECT w, count(*) AS df FROM p GROUP BY w),
+s AS (SELECT item_id, doc_id, round(sum({_WEIGHT}), 6) AS _score FROM q JOIN f USING (w) JOIN p USING (w), n GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, _score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY _score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
 def batch_retrieval(t: Tables) -> DataFrame:
     questions = t.eval_items.select("item_id", F.col("item_text").alias("question"))
     return rag.batch_retrieve(questions, search.postings(t.documents, "text", "doc_id"), 3)

@@ -154,7 +154,25 @@ def dedup_incremental(t: Tables) -> DataFrame:
 
 @query()
 def dedup_perceptual(t: Tables) -> DataFrame:
-    return dedup.hamming_pairs(t.documents.select("doc_id", dedup.simhash(F.col("text")).alias("bits")), "doc_id", "bits", 3)
+    """Fingerprints of texts stand in for those of images; the threshold is the operator's own, 10 bits."""
+    prints = t.documents.select("doc_id", dedup.simhash(F.col("text")).alias("bits"))
+    return dedup.perceptual(prints, "bits", ["doc_id"], action="flag").select("doc_id", "is_duplicate")
+
+
+@query()
+def dedup_near(t: Tables) -> DataFrame:
+    return dedup.near(t.documents.select("doc_id", "text"), "text", "doc_id")
+
+
+@query("SELECT count(*) FILTER (n = 1) AS unique_rows, count(*) FILTER (n > 1) AS duplicates FROM (SELECT row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents WHERE text <> '')")
+def dedup_split(t: Tables) -> DataFrame:
+    unique, again = dedup.split(t.documents.where("text <> ''").select("doc_id", "text"), ["text"], ["doc_id"])
+    return unique.agg(F.count("*").alias("unique_rows")).join(again.agg(F.count("*").alias("duplicates")))
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1")
+def dedup_keep_best(t: Tables) -> DataFrame:
+    return dedup.keep_best(t.documents.select("source", "doc_id", "n_chars"), ["source"], "n_chars", "doc_id")
 
 
 # --- chunks --------------------------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Operators on small tables: guards, edges, and what SQL can't state."""
 
+import random
 import time
 
 import pytest
@@ -109,10 +110,65 @@ def test_duplicates(spark):
     seen = df.where("id = 6").select(dedup.content_key(["text_content"]).alias("hash"))
     fresh, known = dedup.incremental(df, seen, ["text_content"], ["id"])
     assert 6 not in {r.id for r in fresh.collect()} and known.count() == 2
-    bits = spark.createDataFrame([(1, 0), (2, 7), (3, 0), (4, 2**40 + 2**50), (5, -1)], "id int, bits bigint")
-    got = sorted(map(tuple, dedup.hamming_pairs(bits, "id", "bits", 3).collect()))
-    assert got == [(1, 2, 3), (1, 3, 0), (1, 4, 2), (2, 3, 3), (3, 4, 2)]
+    bits = spark.createDataFrame([(1, 0), (2, 7), (3, 0), (4, 2**40 + 2**50), (5, -1), (6, None)], "id int, bits bigint")
+    got = sorted(map(tuple, dedup.hamming_pairs(bits, "bits", 3).collect()))
+    assert got == [(0, 7, 3), (0, 2**40 + 2**50, 2)]
+    assert {r.id for r in dedup.perceptual(bits, "bits", ["id"], 3).collect()} == {1, 5, 6}
     assert dedup.exact(df.limit(0), ["text_content"], ["id"]).count() == 0
+    unique, again = dedup.split(df, ["text_content"], ["id"])
+    assert {r.id for r in again.collect()} == {2} and unique.count() == 5
+
+
+def test_hamming_finds_all_pairs(spark):
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) for _ in range(30)]
+    prints += [p ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 14))) for p in prints for _ in range(6)]
+    signed = sorted({p - (1 << 64) if p >= 1 << 63 else p for p in prints})
+    apart = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if apart(a, b) <= 10}
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(signed)], "id int, bits bigint")
+    assert {(r.x, r.y) for r in dedup.hamming_pairs(df, "bits").collect()} == want
+    kept: list[int] = []
+    for p in signed:
+        if all(apart(p, q) > 10 for q in kept):
+            kept.append(p)
+    assert {r.bits for r in dedup.perceptual(df, "bits", ["id"]).collect()} == set(kept)
+
+
+def test_near_duplicates_against_brute_force(spark, monkeypatch):
+    """First wins over all pairs at 0.8; buckets of many rows are cut into blocks."""
+    monkeypatch.setattr(dedup, "BUCKET", 7)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(25):
+        base = [rng.choice("abcdefghij") * rng.randint(1, 3) + str(rng.randint(0, 99)) for _ in range(60)]
+        for _ in range(rng.randint(1, 12)):
+            other = list(base)
+            for _ in range(rng.randint(0, 3)):
+                other[rng.randrange(60)] = "zz"
+            texts.append(" ".join(other))
+    texts += [texts[0], None, "", "abcd", "abcde", "abcde"]
+    rows = list(enumerate(texts))
+    grams = {k: {t[i : i + 5] for i in range(len(t) - 4)} for k, t in rows if t and len(t) >= 5}
+    near = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8
+    stay, want = [], {}
+    for k, _ in rows:
+        first = next((s for s in stay if k in grams and near(s, k)), k)
+        if first == k and k in grams:
+            stay.append(k)
+        want[k] = first
+    got = {r.doc_id: r for r in dedup.near(spark.createDataFrame(rows, "doc_id int, text string"), "text", "doc_id").collect()}
+    assert {k: r.class_id for k, r in got.items()} == want
+    assert all(r.is_duplicate == (r.class_id != k) for k, r in got.items())
+    none = spark.createDataFrame([], "doc_id int, text string")
+    assert dedup.near(none, "text", "doc_id").count() == 0
+
+
+def test_best_rows(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "a", 2.0), (3, "b", None), (4, None, 1.0), (5, "b", -1.0)], "id int, k string, s double")
+    assert {(r.k, r.id) for r in dedup.keep_best(df, ["k"], "s", "id").collect()} == {("a", 1), ("b", 5), (None, 4)}
+    assert {(r.k, r.id) for r in dedup.last_of(df, ["k"], "s").collect()} == {("a", 1), ("b", 5), (None, 4)}
+    assert dedup.best_of(df.limit(0), ["k"], F.col("id")).count() == 0
 
 
 def test_chunks(spark):

@@ -19,11 +19,11 @@ def test_all_documents_are_indexed(spark):
     words = {r.doc_id: r.w for r in df.select("doc_id", exprs.terms(F.col("text")).alias("w")).collect()}
     mean = sum(map(len, words.values())) / len(words)
     want = {}
-    for term in ("hash", "joins", "annex"):
+    for term in ("hash", "joins", "annex", "向量", "量索", "索引"):
         n = sum(term in w for w in words.values())
         for k, w in words.items():
             if tf := w.count(term):
                 want[k] = want.get(k, 0) + math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
-    assert {r.doc_id: r.score for r in catalog_search.fts_bm25_all(t).collect()} == pytest.approx({k: round(x, 6) for k, x in want.items()})
-    assert {r.doc_id for r in catalog_search.fts_top_all(t).collect()} == {1, 2, 3, 5}
+    assert {r.doc_id: r.score for r in catalog_search.fts_bm25_scores(t).collect()} == pytest.approx({k: round(x, 6) for k, x in want.items()})
+    assert {r.doc_id for r in catalog_search.fts_top(t).collect()} == {1, 2, 3, 4, 5}
     assert {r.doc_id for r in catalog_search.batch_retrieval(t).collect()} == {2, 4}
