@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import re
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import exprs
+from millrace.session import materialize
+from millrace.sources.store import Store
 
 # --- access --------------------------------------------------------------------------------------------------------------
 
@@ -118,6 +123,61 @@ def impact(log: DataFrame, dataset: str, direction: str = "downstream", depth: i
     return found.where("depth > 0").select(F.col("id").alias("dataset"), "depth").orderBy("depth", "dataset").limit(most)
 
 
+def lineage_graph(log: DataFrame, dataset: str, depth: int = 10, most: int = 500) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes, edges, whether nodes were left out) around a dataset, both ways: ``id``, ``depth``, ``type`` (target, source or derived); ``src``, ``dst``, ``operation``.
+
+    What lies both before and after it is a source, at the lesser depth. The first ``most`` nodes by depth and name are kept.
+    """
+    up, down = (impact(log, dataset, way, depth, most + 1).withColumn("type", F.lit(kind)) for way, kind in (("upstream", "source"), ("downstream", "derived")))
+    target = log.sparkSession.range(1).select(F.lit(dataset).alias("id"), F.lit(0).alias("depth"), F.lit("target").alias("type"))
+    both = up.unionByName(down).select(F.col("dataset").alias("id"), "depth", "type").groupBy("id").agg(F.min("depth").alias("depth"), F.max("type").alias("type"))
+    nodes = materialize(target.unionByName(both.where(F.col("id") != dataset)).orderBy("depth", "id").limit(most + 1), "nodes")
+    cut = nodes.count() > most
+    kept = nodes.orderBy("depth", "id").limit(most)
+    pairs = log.select(F.explode(F.from_json("source_datasets", "array<string>")).alias("src"), F.col("dataset_name").alias("dst"), "operation").where("src <> dst").distinct()
+    ids = kept.select("id")
+    inner = pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return kept, inner.select("src", "dst", "operation"), cut
+
+
+class Lineage:
+    """The event log as a table of a store; recording never makes the recorded action fail."""
+
+    NAME = "_lineage_events"
+
+    def __init__(self, store: Store) -> None:
+        self.store = store
+
+    def log(self) -> DataFrame:
+        return self.store.read(self.NAME) if self.store.exists(self.NAME) else self.store.spark.createDataFrame([], EVENT)
+
+    def record(self, dataset: str, operation: str, sources: Sequence[str] = (), actor: str = "system", version: int | None = None, metadata: Mapping | None = None, columns: Mapping[str, Sequence[str]] | None = None, at: str = "") -> str:
+        """Add an event, with the columns each column was made from where they are known; its id."""
+        event = uuid.uuid4().hex
+        row = [(event, dataset, operation, json.dumps(list(sources)), actor, version, json.dumps(dict(metadata or {}), sort_keys=True), json.dumps({k: list(v) for k, v in (columns or {}).items()}, sort_keys=True), at)]
+        df = self.store.spark.createDataFrame(row, EVENT)
+        self.store.append(self.NAME, df) if self.store.exists(self.NAME) else self.store.create(self.NAME, df)
+        return event
+
+    def record_row(self, dataset: str, row: str, sources: Sequence[tuple[str, str]], operation: str = "derive", actor: str = "system", at: str = "") -> str:
+        """From which rows (dataset, row) a row was made."""
+        return self.record(dataset, operation, sorted({d for d, _ in sources}), actor, metadata={"level": "row", "row_id": row, "source_rows": [list(x) for x in sources]}, at=at)
+
+    def after(self, action: Callable[[], DataFrame], dataset: str, operation: str, sources: Sequence[str] = (), **event: object) -> DataFrame:
+        """Do something and record it; what goes wrong with the record is swallowed, what goes wrong with the action isn't."""
+        done = action()
+        with contextlib.suppress(Exception):
+            self.record(dataset, operation, sources, **event)
+        return done
+
+
+def row_history(log: DataFrame, dataset: str, row: str) -> DataFrame:
+    """``source_dataset``, ``source_row`` of the rows a row was made from."""
+    body = F.from_json("metadata", "level string, row_id string, source_rows array<array<string>>")
+    own = log.where(F.col("dataset_name") == dataset).select(body.alias("m")).where((F.col("m.level") == "row") & (F.col("m.row_id") == row))
+    return own.select(F.explode("m.source_rows").alias("s")).select(F.col("s")[0].alias("source_dataset"), F.col("s")[1].alias("source_row")).distinct()
+
+
 def lineage_statistics(log: DataFrame) -> DataFrame:
     """``events``, ``datasets`` of the whole log."""
     return log.agg(F.count("*").alias("events"), F.count_distinct("dataset_name").alias("datasets"))
@@ -162,6 +222,20 @@ def audit_query(entries: DataFrame, dataset: str | None = None, event_type: str
     return found.where(F.col(time) < end) if end is not None else found
 
 
+def replay(entries: DataFrame, dataset: str, version: int, version_column: str = "version", time: str = "created_at") -> DataFrame:
+    """A dataset's entries up to a version, in the order of time; entries without a version aren't part of it."""
+    return entries.where((F.col("dataset_name") == dataset) & (F.col(version_column) <= version)).orderBy(time, "entry_id")
+
+
+def anomalies(events: DataFrame, time: str, keys: Sequence[str], actor: str, threshold: float = 3.0, least: int = 10) -> DataFrame:
+    """``kind`` (hour, actor, off_hours), ``subject``, ``n``, ``z`` of all three detectors together."""
+    subject = F.concat_ws("/", *keys, F.date_format("hour", "yyyy-MM-dd HH"))
+    hours = hourly_anomalies(events, time, keys, threshold).select(F.lit("hour").alias("kind"), subject.alias("subject"), "n", "z")
+    actors = actor_anomalies(events, actor, threshold).select(F.lit("actor").alias("kind"), F.col("actor").cast("string").alias("subject"), "n", "z")
+    off = off_hours(events, time, actor, least=least).select(F.lit("off_hours").alias("kind"), F.col("actor").cast("string").alias("subject"), "n", F.lit(None).cast("double").alias("z"))
+    return hours.unionByName(actors).unionByName(off)
+
+
 def hourly_anomalies(events: DataFrame, time: str, keys: Sequence[str], threshold: float = 3.0) -> DataFrame:
     """Hours with unusually many events of their kind: ``keys``, ``hour``, ``n``, ``z`` against the kind's own hours."""
     hours = events.groupBy(*keys, F.date_trunc("hour", time).alias("hour")).agg(F.count("*").alias("n"))

@@ -3,28 +3,73 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import exprs
+from millrace.session import materialize
 
 # --- extractions -------------------------------------------------------------------------------------------------------
 
 EXTRACTION = "entities array<struct<name:string,type:string,definition:string,confidence:double>>, relations array<struct<source:string,target:string,type:string,confidence:double>>"
 
 
+#: What an answer that was cut off may lack at its end.
+ENDINGS = ("", "}", "]}", "}]}", '"}', '"}]}', '"]}')
+
+
+def answer_struct(answer: Column, schema: str) -> Column:
+    """The JSON object in a model's answer: without thoughts and fences, from its first brace to its last; an answer that was cut off is completed."""
+    said = F.regexp_replace(answer, r"(?s)<think.*?</think\s*>|^\s*```[a-z]*\s*|```\s*$", "")
+    whole, cut = F.regexp_extract(said, r"(?s)(\{.*\})", 1), F.regexp_extract(said, r"(?s)(\{.*)$", 1)
+    names = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", schema)]
+    tried = []
+    for text in (whole, *[F.concat(cut, F.lit(end)) for end in ENDINGS]):
+        read = F.from_json(text, schema)
+        held = F.coalesce(*[read[n].isNotNull() for n in names]) if len(names) == 1 else F.greatest(*[read[n].isNotNull() for n in names])
+        tried.append(F.when(held, read))
+    return F.coalesce(*tried)
+
+
+def normalize_chunks(df: DataFrame, dataset: str, order: Sequence[str]) -> DataFrame:
+    """``id``, ``document_name``, ``chunk_index``, ``content``: what is missing is made up: the text from ``text_content`` or the first column, an id of
+    its content and place, the dataset's name, and numbers in an order."""
+    text = "content" if "content" in df.columns else "text_content" if "text_content" in df.columns else df.columns[0]
+    content = F.col(f"`{text}`").cast("string")
+    place = F.concat_ws("\u0001", *[F.col(f"`{c}`").cast("string") for c in order], content)
+    made = df.select(
+        (F.col("id").cast("string") if "id" in df.columns else F.substr(F.sha2(place, 256), F.lit(1), F.lit(32))).alias("id"),
+        (F.col("document_name") if "document_name" in df.columns else F.lit(dataset)).alias("document_name"),
+        (F.col("chunk_index").cast("bigint") if "chunk_index" in df.columns else F.lit(None).cast("bigint")).alias("chunk_index"),
+        content.alias("content"), F.struct(*[F.col(f"`{c}`") for c in order]).alias("__order"),
+    )
+    if "chunk_index" in df.columns:
+        return made.drop("__order")
+    if "document_name" in df.columns:
+        number = F.row_number().over(Window.partitionBy("document_name").orderBy("__order", "id")) - 1
+        return made.withColumn("chunk_index", number.cast("bigint")).drop("__order")
+    # one document: numbered by ranges, so that no task orders it as a whole
+    ranged = materialize(made.repartitionByRange("__order", "id").withColumn("__part", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    before = before.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row per range
+    number = F.row_number().over(Window.partitionBy("__part").orderBy("__order", "id")) - 1
+    return ranged.withColumn("__n", number).join(before, "__part").withColumn("chunk_index", (F.col("__n") + F.col("__before")).cast("bigint")).select("id", "document_name", "chunk_index", "content")
+
+
 def parse_extractions(chunks: DataFrame, answer: str, least: float = 0.7, stop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of model answers: the outermost braces are read as JSON, whatever stands around them.
+    """(entities, relations) of model answers: the outermost braces are read as JSON, whatever stands around them (:func:`answer_struct`).
 
     Entities below the confidence (a missing one counts as 1), without a name, of one character or on the stop list are
     dropped, and so are relations without two entities of their chunk.
     """
-    said = F.from_json(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), EXTRACTION)
-    read = chunks.select("chunk_id", "ord", said.alias("x"))
+    read = chunks.select("chunk_id", "ord", answer_struct(F.col(answer), EXTRACTION).alias("x"))
     entities = read.select("chunk_id", "ord", F.posexplode("x.entities").alias("pos", "e")).select("chunk_id", "ord", "pos", "e.*")
     name = F.trim("name")
     entities = entities.where((F.coalesce("confidence", F.lit(1.0)) >= least) & (F.char_length(name) > 1) & ~F.lower(name).isin(*[s.lower() for s in stop])).withColumn("name", name)
@@ -55,21 +100,36 @@ def merge_relations(relations: DataFrame, canonical: DataFrame | None = None) ->
     return found.where("source <> target").distinct()
 
 
-def similar_entities(entities: DataFrame, vector: str = "embedding", key: str = "norm", least: float = 0.86, planes: int = 8, tables: int = 12, seed: int = 3) -> DataFrame:
-    """``a`` < ``b``, ``cosine``: pairs of embeddings at least so similar, found in shared buckets of random planes."""
-    import numpy as np
+def similar_entities(entities: DataFrame, vector: str = "embedding", key: str = "norm", least: float = 0.86, recall: float = 0.999, planes: int = 6, seed: int = 3) -> DataFrame:
+    """``a`` < ``b``, ``cosine``: pairs of embeddings at least so similar, found in shared buckets of random planes.
 
+    There are as many tables of ``planes`` planes as bring a pair of the least similarity together with a chance of ``recall``. Only keys go
+    through the buckets; vectors follow once per pair, and every pair that met is compared. Rows of equal vectors meet as one and
+    are paired with the first of them, so that copies give a star and not all pairs.
+    """
     width = entities.select(F.size(vector)).where(F.size(vector) > 0).first()
+    kind = entities.schema[key].dataType.simpleString()
     if width is None:
-        kind = entities.schema[key].dataType.simpleString()
         return entities.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cosine double")
+    apart = 1 - math.acos(min(least, 1.0)) / math.pi
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - min(apart**planes, 1 - 1e-9)))
     rng = np.random.default_rng(seed)
-    normals = rng.standard_normal((tables, planes, width[0]))
-    side = lambda n: F.when(exprs.dot(F.col(vector), F.array(*[F.lit(float(x)) for x in n])) > 0, "1").otherwise("0")
-    codes = F.array(*[F.concat(F.lit(f"{t}:"), *[side(n) for n in normals[t]]) for t in range(tables)])
-    rows = entities.where(F.size(vector) == width[0]).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.explode(codes).alias("code"))
-    met = rows.alias("l").join(rows.alias("r"), F.expr("l.code = r.code and l.k < r.k")).select(F.col("l.k").alias("a"), F.col("r.k").alias("b"), F.round(exprs.cosine(F.col("l.v"), F.col("r.v")), 6).alias("cosine"))
-    return met.where(F.col("cosine") >= least).distinct()
+    normals = rng.standard_normal((tables * planes, width[0]))
+
+    def codes(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()).astype(np.float64) @ normals.T > 0
+        packed = (x.reshape(len(x), tables, planes) * (1 << np.arange(planes))).sum(axis=2) + (np.arange(tables) << planes)
+        return pd.Series(list(packed.astype(np.int64)))
+
+    codes.__annotations__ = {"vectors": pd.Series, "return": pd.Series}
+    usable = entities.where(F.size(vector) == width[0]).select(F.col(key).alias("k"), F.col(vector).alias("v")).where("k is not null and not exists(v, x -> x is null or isnan(x)) and exists(v, x -> x <> 0)")
+    groups = materialize(usable.groupBy(F.xxhash64("v").alias("h")).agg(F.min("k").alias("k"), F.min_by("v", "k").alias("v")), "vectors")
+    coded = materialize(groups.select("k", F.explode(F.pandas_udf(codes, "array<bigint>")("v")).alias("code")), "codes")
+    met = coded.alias("l").join(coded.alias("r"), F.expr("l.code = r.code and l.k < r.k")).select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct()
+    both = met.join(groups.select(F.col("k").alias("a"), F.col("v").alias("va")), "a").join(groups.select(F.col("k").alias("b"), F.col("v").alias("vb")), "b")
+    near = both.select("a", "b", F.round(exprs.cosine(F.col("va"), F.col("vb")), 6).alias("cosine")).where(F.col("cosine") >= least)
+    copies = usable.select(F.col("k").alias("b"), F.xxhash64("v").alias("h")).join(groups.select("h", F.col("k").alias("a")), "h").where("a < b").select("a", "b", F.lit(1.0).alias("cosine"))
+    return near.unionByName(copies.distinct())
 
 
 def canonical_names(entities: DataFrame, groups: DataFrame, most: int = 40) -> DataFrame:
@@ -93,6 +153,30 @@ def document_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, contains.unionByName(after)
 
 
+def reference_edges(mentions: DataFrame) -> DataFrame:
+    """``src``, ``dst``, ``label``: from each chunk (``chunk_id``) to the entities (``id``) it names, once."""
+    return mentions.where("chunk_id is not null and id is not null").select(F.col("chunk_id").alias("src"), F.col("id").alias("dst"), F.lit("references").alias("label")).distinct()
+
+
+def typed_graph(entities: DataFrame, relations: DataFrame, vertex_rules: Sequence[tuple[str, str]], edge_rules: Sequence[tuple[str, str]], generic: str = "Entity") -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges), each entity as a generic vertex and, where a rule knows its type, as a typed one too.
+
+    ``entities`` has ``norm``, ``type`` and ``chunks``; ``relations`` ``source``, ``target`` and ``type``. An edge has the label of the first rule that
+    fits its type, else ``related_to``; the typed edge joins the typed vertices, and where one end has none it is the generic ``related_to``.
+    Vertices of one name and label are one, with the chunks of all.
+    """
+    label = route(F.coalesce("type", F.lit("")), vertex_rules, generic)
+    one = entities.select(F.col("norm").alias("id"), label.alias("label"), F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"))
+    every = one.withColumn("label", F.lit(generic)).unionByName(one.where(F.col("label") != generic))
+    nodes = every.groupBy("id", "label").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks")))).alias("chunks"))
+    kinds = one.where(F.col("label") != generic).groupBy("id").agg(F.min("label").alias("label"))
+    ends = relations.select("source", "target", route(F.coalesce("type", F.lit("")), edge_rules, DEFAULT_VERB).alias("label"))
+    found = ends.join(kinds.select(F.col("id").alias("source"), F.col("label").alias("source_label")), "source", "left").join(kinds.select(F.col("id").alias("target"), F.col("label").alias("target_label")), "target", "left")
+    typed = F.col("source_label").isNotNull() & F.col("target_label").isNotNull()
+    edges = found.select("source", "target", F.when(typed, F.col("label")).otherwise(F.lit(DEFAULT_VERB)).alias("label"), F.when(typed, F.col("source_label")).otherwise(F.lit(generic)).alias("source_label"), F.when(typed, F.col("target_label")).otherwise(F.lit(generic)).alias("target_label"))
+    return nodes, edges.distinct()
+
+
 def changed_chunks(chunks: DataFrame, checkpoint: DataFrame, text: str = "content") -> DataFrame:
     """Chunks whose text isn't the one of the last build, with the ``hash`` to remember."""
     hashed = chunks.withColumn("hash", F.substr(F.sha1(F.col(text).cast("binary")), F.lit(1), F.lit(16)))

@@ -61,3 +61,18 @@ def completeness(df: DataFrame) -> DataFrame:
 def table_statistics(df: DataFrame, large: int = 1_000_000) -> DataFrame:
     """``rows``, ``columns``, ``is_large``."""
     return df.agg(F.count("*").alias("rows")).select("rows", F.lit(len(df.columns)).alias("columns"), (F.col("rows") >= large).alias("is_large"))
+
+
+def storage_statistics(df: DataFrame, large_rows: int = 1_000_000, large_mb: float = 1024) -> DataFrame:
+    """``rows``, ``columns``, ``files``, ``size_mb``, ``is_large`` of a table that is read from files; no data is read for the size."""
+    jvm, sizes = df.sparkSession._jvm, []
+    for f in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        sizes.append(path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getFileStatus(path).getLen())
+    mb = round(sum(sizes) / 2**20, 3)
+    return df.agg(F.count("*").alias("rows")).select("rows", F.lit(len(df.columns)).alias("columns"), F.lit(len(sizes)).alias("files"), F.lit(mb).alias("size_mb"), ((F.col("rows") >= large_rows) | F.lit(mb >= large_mb)).alias("is_large"))
+
+
+def suggest_limit(rows: int, requested: int | None = None) -> int | None:
+    """The limit asked for, or ten thousand for a table of more than a hundred thousand rows."""
+    return requested if requested is not None else 10_000 if rows > 100_000 else None

@@ -245,7 +245,7 @@ def kg_neighbour_context(t: Tables) -> DataFrame:
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95""")
 def kg_similar_entities(t: Tables) -> DataFrame:
-    found = knowledge.similar_entities(t.embeddings.select(F.col("vec_id").alias("norm"), "embedding"), least=0.95, planes=5, tables=30)
+    found = knowledge.similar_entities(t.embeddings.select(F.col("vec_id").alias("norm"), "embedding"), least=0.95)
     return found.select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
@@ -262,3 +262,24 @@ def kg_resolved(t: Tables) -> DataFrame:
     keyed = names.withColumn("letters", letters)
     first = keyed.groupBy("letters").agg(F.min("norm").alias("src"))  # each name is linked to the first of its letters, not to all
     return knowledge.canonical_names(names, graph.components(keyed.join(first, "letters").select("src", F.col("norm").alias("dst"))))
+
+
+@query("""WITH r AS (SELECT DISTINCT unnest(source_chunk) AS src, vertex_id AS dst FROM entity_graph) SELECT src, dst, 'references' AS label FROM r WHERE src IS NOT NULL""")
+def kg_references(t: Tables) -> DataFrame:
+    return knowledge.reference_edges(_mentions(t))
+
+
+_KINDS = (("person|people", "Person"), ("org|company", "Organization"), ("place|location", "Place"))
+
+
+@query("""SELECT label, count(DISTINCT norm) AS n FROM (SELECT lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS norm, lower(entity_type) AS k FROM entity_graph WHERE name IS NOT NULL), (VALUES ('Entity', ''), ('Person', 'person|people'), ('Organization', 'org|company'), ('Place', 'place|location')) AS l (label, p)
+WHERE p = '' OR regexp_matches(coalesce(k, ''), p) AND NOT (label = 'Organization' AND regexp_matches(k, 'person|people')) AND NOT (label = 'Place' AND regexp_matches(k, 'person|people|org|company')) GROUP BY label""")
+def kg_typed_vertices(t: Tables) -> DataFrame:
+    named = t.entity_graph.where("name is not null").select(exprs.normalized_name(F.col("name")).alias("norm"), F.col("entity_type").alias("type"), F.col("source_chunk").alias("chunks"))
+    none = t.spark.createDataFrame([], "source string, target string, type string")
+    return knowledge.typed_graph(named, none, _KINDS, ())[0].groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS chunk_index FROM documents")
+def kg_chunks_numbered(t: Tables) -> DataFrame:
+    return knowledge.normalize_chunks(t.documents.select(F.col("text").alias("text_content"), F.col("doc_id").alias("id"), "doc_id"), "documents", ["doc_id"]).select(F.col("id").cast("bigint").alias("doc_id"), "chunk_index")

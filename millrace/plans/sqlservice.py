@@ -8,11 +8,12 @@ import threading
 import time
 import uuid
 from collections import OrderedDict
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.operators.guards import Rejected, bound_limit, check_name, check_sql
+from millrace.operators.guards import Rejected, bound_limit, check_name, check_sql, check_where
 
 
 class SqlService:
@@ -24,11 +25,11 @@ class SqlService:
         self._cache: OrderedDict[str, tuple[float, DataFrame, set[str]]] = OrderedDict()
         self._lock = threading.Lock()
 
-    def _run(self, query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    def _run(self, query: str, tables: Mapping[str, DataFrame], args: Mapping[str, object] | None = None) -> DataFrame:
         for name, df in tables.items():
             df.createOrReplaceTempView(check_name(name))
         try:
-            return self.spark.sql(query)
+            return self.spark.sql(query, args=dict(args)) if args else self.spark.sql(query)
         finally:
             for name in tables:
                 self.spark.catalog.dropTempView(name)
@@ -37,9 +38,15 @@ class SqlService:
         """A single SELECT, its limit lowered to ``max_rows``; lazy."""
         return self._run(bound_limit(check_sql(sql, joins=self.joins), max_rows or self.max_rows), tables)
 
-    def query(self, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-        """A single SELECT or WITH, without a limit of ours."""
-        return self._run(check_sql(sql, joins=self.joins, ctes=True), tables)
+    def query(self, sql: str, tables: Mapping[str, DataFrame], args: Mapping[str, object] | None = None) -> DataFrame:
+        """A single SELECT or WITH, without a limit of ours; ``:name`` in it stands for the value in ``args``."""
+        return self._run(check_sql(sql, joins=self.joins, ctes=True), tables, args)
+
+    @staticmethod
+    def relational(df: DataFrame, columns: Sequence[str] = (), where: str | None = None, limit: int = 1000) -> DataFrame:
+        """Some columns of the rows that a filter lets through, at most ``limit``."""
+        rows = df.where(F.expr(check_where(where))) if where else df
+        return (rows.select(*[check_name(c) for c in columns]) if columns else rows).limit(limit)
 
     def within(self, seconds: float, df: DataFrame) -> list:
         """The rows of a query whose Spark jobs are cancelled when they take longer than that."""
@@ -59,6 +66,17 @@ class SqlService:
         text = self._run(f"EXPLAIN FORMATTED {query}", tables).first()[0]
         return self.spark.createDataFrame(list(enumerate(text.split("\n"), 1)), "line_no bigint, line string")
 
+    def analyze(self, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """Run a query and say how it went: ``line_no``, ``line`` of seconds, rows, and the plan as it was carried out."""
+        df = self.query(sql, tables)
+        seen = Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        began = time.perf_counter()
+        counted.write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - began
+        lines = [f"seconds: {took:.3f}", f"rows: {seen.get['rows']}", *str(df._jdf.queryExecution().executedPlan().toString()).rstrip().split("\n")]
+        return self.spark.createDataFrame(list(enumerate(lines, 1)), "line_no bigint, line string")
+
     def cached(self, sql: str, tables: Mapping[str, DataFrame], versions: Mapping[str, int]) -> DataFrame:
         """As :meth:`olap`, with the result persisted; the key holds the versions of all tables, not just their names."""
         query = bound_limit(check_sql(sql, joins=self.joins), self.max_rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 import re
 import socket
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from urllib.parse import urlparse
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.exprs import html_text
 from millrace.operators.guards import Rejected, check_sql
+from millrace.session import shared_dir
 
 #: File types by their endings.
 TYPES = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parquet", ".html": "text", ".htm": "text", ".md": "text", ".txt": "text"}
@@ -92,6 +94,47 @@ def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return raw.select(F.substr(F.sha2("value", 256), F.lit(1), F.lit(16)).alias("document_id"), name.alias("filename"), kind.alias("doc_type"), text.alias("text"))
 
 
+def read_parsed(spark: SparkSession, path: str, parse: Callable[[bytes, str], Sequence[str]], endings: Sequence[str] = (".pdf", ".docx", ".pptx", ".xlsx"), max_pages: int = 0) -> DataFrame:
+    """``document_id``, ``filename``, ``doc_type``, ``page_number``, ``text``, ``error``: documents that need a parser, a row per page.
+
+    ``parse`` is an injected function of a file's bytes and type that gives the texts of its pages; where it fails, the file has one row with the error.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike("(" + "|".join(re.escape(e) for e in endings) + ")$"))
+    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    named = files.select(F.substr(F.sha2("content", 256), F.lit(1), F.lit(16)).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), kind.alias("doc_type"), "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for ident, name, kind, content in batch.itertuples(index=False):
+                try:
+                    pages = list(parse(bytes(content), kind))
+                    rows += [(ident, name, kind, k, text, None) for k, text in enumerate(pages[: max_pages or None], 1)]
+                except Exception as e:  # the row says what was wrong
+                    rows.append((ident, name, kind, None, None, str(e)[:500]))
+            frame = pd.DataFrame(rows, columns=["document_id", "filename", "doc_type", "page_number", "text", "error"])
+            yield frame.astype({"page_number": "Int32"})
+
+    return named.mapInPandas(run, "document_id string, filename string, doc_type string, page_number int, text string, error string")
+
+
+def read_bytes(spark: SparkSession, data: bytes, filename: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A table from the bytes of a file, by its name's ending; they are staged in the shared folder."""
+    file_type(filename)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace/staged-{uuid.uuid4().hex}/{filename.rsplit('/', 1)[-1]}")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return read_files(spark, target.toString(), columns)
+
+
+def read_hub(spark: SparkSession, name: str) -> DataFrame:
+    """A dataset of a public hub, by Spark's data source for it where that package is installed."""
+    return _packaged(spark.read.format("huggingface"), "huggingface", name)
+
+
 def pages_of(documents: DataFrame, max_pages: int = 0, text: str = "text") -> DataFrame:
     """A row per page (from 1): pages end at form feeds; 0 means all pages."""
     cut = documents.select("*", F.posexplode(F.split(text, "\f")).alias("p", "page_text")).withColumn("page_number", F.col("p") + 1).drop("p", text).withColumnRenamed("page_text", text)
@@ -218,18 +261,37 @@ def modality_view(df: DataFrame, modality: str) -> DataFrame:
     return df.where(F.col("modality") == modality).select(*COMMON, *GROUPS[modality])
 
 
-def read_images(spark: SparkSession, path: str, decode: Callable[[bytes], dict] | None = None) -> DataFrame:
-    """Image files in the unified columns; sizes and EXIF by an injected decoder, or by Pillow where it is installed."""
+#: What a decoder may say of an image and of a video.
+IMAGE, VIDEO = ("image_thumbnail", "image_preview", "image_width", "image_height", "exif_make", "exif_model", "exif_gps_lat", "exif_gps_lon", "exif_capture_time"), ("keyframe_count", "video_duration_ms")
+
+
+def _read_media(spark: SparkSession, path: str, modality: str, held: str, said: Sequence[str], look: Callable[[], Callable[[bytes], dict]]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    kinds = {f.name: f.dataType.simpleString() for f in UNIFIED}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = decode or _pillow()
+        decode = look()
         for batch in batches:
-            seen = [look(c) for c in batch["image_data"]]
-            yield pd.DataFrame({"filename": batch["filename"], "image_data": batch["image_data"], **{k: [s.get(k) for s in seen] for k in ("image_width", "image_height", "exif_make", "exif_model")}})
+            seen = []
+            for content in batch[held]:
+                try:
+                    seen.append(decode(bytes(content)))
+                except Exception:  # a damaged file keeps its bytes
+                    seen.append({})
+            yield pd.DataFrame({"filename": batch["filename"], held: batch[held], **{k: pd.Series([s.get(k) for s in seen], dtype=object) for k in said}})
+
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("content").alias(held))
+    return unified(named.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("filename", held, *said))), modality)
+
+
+def read_images(spark: SparkSession, path: str, decode: Callable[[bytes], dict] | None = None) -> DataFrame:
+    """Image files in the unified columns; sizes, smaller pictures and EXIF by an injected decoder, or by Pillow where it is installed."""
+    return _read_media(spark, path, "image", "image_data", IMAGE, (lambda: decode) if decode else _pillow)
+
 
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("content").alias("image_data"))
-    return unified(named.mapInPandas(run, "filename string, image_data binary, image_width int, image_height int, exif_make string, exif_model string"), "image")
+def read_videos(spark: SparkSession, path: str, decode: Callable[[bytes], dict]) -> DataFrame:
+    """Video files in the unified columns; the number of key frames and the duration by an injected decoder."""
+    return _read_media(spark, path, "video", "video_data", VIDEO, lambda: decode)
 
 
 def _pillow() -> Callable[[bytes], dict]:
@@ -243,7 +305,17 @@ def _pillow() -> Callable[[bytes], dict]:
     def look(content: bytes) -> dict:
         image = Image.open(io.BytesIO(content))
         exif = image.getexif()
-        return {"image_width": image.width, "image_height": image.height, "exif_make": exif.get(271), "exif_model": exif.get(272)}
+        found = {"image_width": image.width, "image_height": image.height, "exif_make": exif.get(271), "exif_model": exif.get(272), "exif_capture_time": exif.get(306)}
+        for name, side in (("image_thumbnail", 256), ("image_preview", 1024)):
+            small, out = image.convert("RGB"), io.BytesIO()
+            small.thumbnail((side, side))
+            small.save(out, "JPEG")
+            found[name] = out.getvalue()
+        place = exif.get_ifd(0x8825)
+        for name, ref, at in (("exif_gps_lat", 1, 2), ("exif_gps_lon", 3, 4)):
+            if place.get(at):
+                found[name] = gps_decimal(*map(float, place[at]), place.get(ref, "N"))
+        return found
 
     return look
 

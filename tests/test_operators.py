@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import exprs
-from millrace.operators import chunking, dedup, governance, graph, guards, joins, knowledge, models, quality, rag, search
+from millrace.operators import chunking, dedup, governance, graph, guards, joins, knowledge, models, profile, quality, rag, search
 from millrace.operators.frame import LazyFrame, compare
 from millrace.operators.transforms import apply_transforms, clean
 from millrace.plans.sqlservice import SqlService
@@ -97,6 +97,20 @@ def test_asof_join(spark):
     assert sorted((r.id, r.v) for r in joins.asof_join(left, right, "t", ["k"], ["v"]).collect()) == [(1, 50), (2, None), (3, None), (4, None)]
 
 
+def test_asof_join_over_stretches(spark):
+    """A key that nearly all rows have, with and without stretches; gaps of several stretches without a right row."""
+    rng = random.Random(5)
+    left = spark.createDataFrame([(k, rng.choice("aaaab"), rng.choice([None, *range(100)])) for k in range(200)], "id int, k string, t int")
+    right = spark.createDataFrame([(rng.choice("aaaaac"), rng.choice([*range(10), *range(60, 100)]), k) for k in range(80)] + [("b", 3, 7), ("b", None, 8)], "k string, t int, v int")
+    got = lambda cuts: {(r.id, r.v) for r in joins.asof_join(left, right, "t", ["k"], ["v"], cuts).collect()}
+    best = {}
+    for r in right.where("t is not null").collect():
+        best.setdefault(r.k, []).append((r.t, r.v))
+    want = {(r.id, max((x for x in best.get(r.k, []) if r.t is not None and x[0] <= r.t), default=(0, None))[1]) for r in left.collect()}
+    assert got(8) == got(0) == want
+    assert joins.asof_join(left, right.limit(0), "t", ["k"], ["v"]).where("v is not null").count() == 0
+
+
 def test_binned_range_join(spark):
     left = spark.createDataFrame([(float(x),) for x in range(50)], "x double")
     ranges = spark.createDataFrame([(0.0, 7.5), (7.5, 30.0), (49.0, 49.0)], "lo double, hi double")
@@ -291,6 +305,36 @@ def test_knowledge(spark):
     assert [(r.src, r.dst) for r in knowledge.link_orphans(orphan, edges(spark, [(2, 3)]), mentions).collect()] == [(1, 2)]
 
 
+def test_shortest_paths_and_betweenness(spark):
+    small = edges(spark, [(1, 2), (2, 3), (3, 4), (1, 5), (4, 1), (5, 3), (6, 7)])
+    paths = lambda *a, **k: sorted(r.path for r in graph.all_shortest_paths(small, *a, **k).collect())
+    assert paths(1, 4) == [[1, 2, 3, 4], [1, 5, 3, 4]] and paths(1, 1) == [[1]] and paths(1, 7) == [] and paths(1, 4, depth=2) == []
+    assert paths(1, 4, direction="both") == [[1, 4]]
+    assert {r.path[-1]: r.depth for r in graph.rings(small, 1, 5).collect()} == {4: 4}
+    assert {r.id: r.distance for r in graph.shortest_distances(small, spark.createDataFrame([(1,)], "id int")).collect()} == {1: 0, 2: 1, 5: 1, 3: 2, 4: 3}
+    assert {r.id for r in graph.crosspoints(small, 2, 5, 3).collect()} == {3, 4, 1}
+    some = {r.id: r.betweenness for r in graph.betweenness(edges(spark, [(1, 2), (2, 3), (3, 4), (3, 3)]), spark.createDataFrame([(1,)], "id int")).collect()}
+    assert some == {1: 0.0, 2: 1.0, 3: 0.5, 4: 0.0}
+    assert graph.betweenness(edges(spark, [])).count() == 0
+
+
+def test_broken_answers_and_typed_graphs(spark):
+    answers = ['<think>{no}</think>```json\n{"entities": [{"name": "Ann"}], "relations": []}\n```', '{"entities": [{"name": "Bo"}, {"name": "Cut o', "nothing", None]
+    chunks = spark.createDataFrame([(f"c{k}", k, a) for k, a in enumerate(answers)], "chunk_id string, ord int, answer string")
+    assert {r.name for r in knowledge.parse_extractions(chunks, "answer")[0].collect()} >= {"Ann", "Bo"}
+    entities = spark.createDataFrame([("ann", "Person", ["c2"]), ("ann", "person", ["c1"]), ("lab", "company", None), ("x", None, ["c1"])], "norm string, type string, chunks array<string>")
+    relations = spark.createDataFrame([("ann", "lab", "works at"), ("ann", "x", "works at"), ("lab", "ann", None)], "source string, target string, type string")
+    nodes, links = knowledge.typed_graph(entities, relations, [("person", "Person"), ("company", "Organization")], [("works", "works_at")])
+    assert {(r.id, r.label): r.chunks for r in nodes.collect()} == {("ann", "Entity"): ["c1", "c2"], ("ann", "Person"): ["c1", "c2"], ("lab", "Entity"): [], ("lab", "Organization"): [], ("x", "Entity"): ["c1"]}
+    assert {(r.source, r.target, r.label) for r in links.collect()} == {("ann", "lab", "works_at"), ("ann", "x", "related_to"), ("lab", "ann", "related_to")}
+    texts = spark.createDataFrame([("b", 2), ("a", 1), ("a", 3), (None, 4)], "text string, n int")
+    numbered = knowledge.normalize_chunks(texts, "notes", ["n"]).orderBy("chunk_index").collect()
+    assert [(r.content, r.document_name, r.chunk_index) for r in numbered] == [("a", "notes", 0), ("b", "notes", 1), ("a", "notes", 2), (None, "notes", 3)]
+    assert len({r.id for r in numbered}) == 4
+    similar = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0]), ("d", [1.0, 0.0]), ("e", [0.0, 0.0]), ("f", None)], "norm string, embedding array<double>")
+    assert {(r.a, r.b) for r in knowledge.similar_entities(similar).collect()} == {("a", "b"), ("a", "d")}
+
+
 # --- governance --------------------------------------------------------------------------------------------------------------------
 
 
@@ -424,3 +468,68 @@ def test_models(spark):
 def test_time_limit(spark):
     service = SqlService(spark)
     assert len(service.within(60, spark.range(3))) == 3
+
+
+def test_lineage_is_recorded(spark, tmp_path):
+    lineage = governance.Lineage(Store(spark, str(tmp_path / "lineage")))
+    lineage.record("clean", "clean", ["raw"], at="1", columns={"x": ["y"]})
+    made = lineage.after(lambda: spark.range(3), "report", "export", ["clean"], at="2")
+    lineage.record_row("report", "7", [("clean", "3"), ("clean", "4")], at="3")
+    assert made.count() == 3
+    with pytest.raises(ZeroDivisionError):
+        lineage.after(lambda: 1 / 0, "x", "y")
+    nodes, links, cut = governance.lineage_graph(lineage.log(), "clean")
+    assert {(r.id, r.depth, r.type) for r in nodes.collect()} == {("clean", 0, "target"), ("raw", 1, "source"), ("report", 1, "derived")} and not cut
+    assert {(r.src, r.dst) for r in links.collect()} == {("raw", "clean"), ("clean", "report")}
+    assert governance.lineage_graph(lineage.log(), "clean", most=2)[2]
+    assert {(r.source_dataset, r.source_row) for r in governance.row_history(lineage.log(), "report", "7").collect()} == {("clean", "3"), ("clean", "4")}
+
+
+def test_analyze_and_small_queries(spark, tmp_path):
+    service = SqlService(spark)
+    lines = [r.line for r in service.analyze("SELECT count(*) AS n FROM t", {"t": spark.range(5)}).orderBy("line_no").collect()]
+    assert lines[1] == "rows: 1" and any("HashAggregate" in x for x in lines)
+    assert service.query("SELECT id FROM t WHERE id > :low", {"t": spark.range(5)}, {"low": 3}).count() == 1
+    assert SqlService.relational(spark.range(5), ["id"], "id > 1", 2).count() == 2
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    assert profile.storage_statistics(spark.read.parquet(str(tmp_path / "t"))).first().rows == 10
+    assert profile.suggest_limit(200_000) == 10_000 and profile.suggest_limit(5) is None and profile.suggest_limit(9, 3) == 3
+    graded = spark.createDataFrame([(0.9, 1), (0.1, 1), (None, 2)], "grade double, attempts int")
+    assert sorted(r._parse for r in quality.confidence_gate(graded).collect()) == ["accepted", "low_confidence", "retry"]
+
+
+def test_bytes_media_and_parsed_documents(spark, tmp_path):
+    assert readers.read_bytes(spark, b"a,b\n1,x\n", "t.csv").collect()[0].b == "x"
+    for name, body in (("a.pdf", b"one|two|three"), ("b.pdf", b"!"), ("c.txt", b"no")):
+        (tmp_path / name).write_bytes(body)
+
+    def parse(content, kind):
+        if content == b"!":
+            raise ValueError("damaged")
+        return content.decode().split("|")
+
+    got = readers.read_parsed(spark, str(tmp_path), parse, max_pages=2).collect()
+    assert {(r.filename, r.page_number, r.text) for r in got if not r.error} == {("a.pdf", 1, "one"), ("a.pdf", 2, "two")} and sum(bool(r.error) for r in got) == 1
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "x.mp4").write_bytes(b"1234")
+    video = readers.read_videos(spark, str(tmp_path / "v"), lambda c: {"keyframe_count": len(c), "video_duration_ms": 5}).first()
+    assert (video.modality, video.keyframe_count, video.video_duration_ms, video.filename) == ("video", 4, 5, "x.mp4")
+    with pytest.raises(guards.Rejected):
+        readers.read_hub(spark, "some/set")
+
+
+def test_retrieval_and_sessions(spark, tmp_path):
+    df = spark.createDataFrame([("a", [1.0, 0.0], "red apple red"), ("b", [0.5, 0.5], "green pear"), ("c", [0.0, 1.0], "red pear apple")], "id string, text_embedding array<float>, text_content string")
+    assert [r.id for r in rag.retrieve(df, "pear", "fts", top_k=1).collect()] == ["b"]
+    assert {r.id for r in rag.retrieve(df, "nothing", "hybrid", [1.0, 0.0], 2).collect()} == {"a", "b"}
+    with pytest.raises(guards.Rejected):
+        rag.retrieve(df, "x", "vector")
+    merged = rag.merge_retrievals([rag.retrieve(df, "pear", "fts"), rag.retrieve(df, "", "vector", [0.0, 1.0])], ["id"], "id")
+    assert {r.id for r in merged.collect()} == {"a", "b", "c"} and merged.count() == 3
+    index = search.postings(df, stop=["pear"], positions=True)
+    assert index.where("term = 'pear'").count() == 0
+    assert {(r.id, r.times) for r in search.phrase_search(search.postings(df, positions=True), "Red apple").collect()} == {("a", 1)}
+    assert {(r.id, r.times) for r in search.phrase_search(search.postings(df, positions=True), "red").collect()} == {("a", 2), ("c", 1)}
+    sessions = rag.Sessions(Store(spark, str(tmp_path / "rag")))
+    assert [sessions.say("s", "user", "hello", 1.0), sessions.say("s", "assistant", "hi", 2.0), sessions.say("t", "user", "x", 3.0)] == [1, 2, 1]
+    assert [r.content for r in sessions.turns("s").collect()] == ["hello", "hi"] and sessions.rate("s", 2, 5, "good", 4.0).count() == 1
