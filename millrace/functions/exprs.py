@@ -47,7 +47,8 @@ def terms(text: Column) -> Column:
     """Search terms: letters and digits in lower case; a run of CJK characters gives its overlapping pairs."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w) - 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(2)))
-    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(CJK), pairs(w)).otherwise(F.array(w))))
+    paired = F.flatten(F.transform(words, lambda w: F.when(w.rlike(CJK), pairs(w)).otherwise(F.array(w))))
+    return F.when(text.rlike(CJK), paired).otherwise(words)  # most texts needn't be looked at word by word
 
 
 def sentences(text: Column) -> Column:

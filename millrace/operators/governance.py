@@ -110,10 +110,14 @@ def one_hop(log: DataFrame, dataset: str, direction: str) -> DataFrame:
 
 def impact(log: DataFrame, dataset: str, direction: str = "downstream", depth: int = 10, most: int = 500) -> DataFrame:
     """``dataset``, ``depth`` of all that depends on one (or that it depends on), at the least depth; the first ``most``."""
+    return _reached(materialize(lineage_edges(log), "edges"), dataset, direction, depth, most)
+
+
+def _reached(edges: DataFrame, dataset: str, direction: str, depth: int, most: int) -> DataFrame:
     from millrace.operators.graph import neighbours
 
-    start = log.sparkSession.range(1).select(F.lit(dataset).alias("id"))
-    edges, found = lineage_edges(log), start.withColumn("depth", F.lit(0))
+    start = edges.sparkSession.range(1).select(F.lit(dataset).alias("id"))
+    found = start.withColumn("depth", F.lit(0))
     for k in range(0, depth, 5):  # a walk of five steps at a time, from the farthest reached
         front = found.where(F.col("depth") == k).select("id")
         more = neighbours(edges, front, min(5, depth - k), "out" if direction == "downstream" else "in").where("depth > 0")
@@ -128,13 +132,14 @@ def lineage_graph(log: DataFrame, dataset: str, depth: int = 10, most: int = 500
 
     What lies both before and after it is a source, at the lesser depth. The first ``most`` nodes by depth and name are kept.
     """
-    up, down = (impact(log, dataset, way, depth, most + 1).withColumn("type", F.lit(kind)) for way, kind in (("upstream", "source"), ("downstream", "derived")))
+    pairs = log.select(F.explode(F.from_json("source_datasets", "array<string>")).alias("src"), F.col("dataset_name").alias("dst"), "operation").where("src <> dst").distinct()
+    pairs = materialize(pairs, "edges")
+    up, down = (_reached(pairs.select("src", "dst"), dataset, way, depth, most + 1).withColumn("type", F.lit(kind)) for way, kind in (("upstream", "source"), ("downstream", "derived")))
     target = log.sparkSession.range(1).select(F.lit(dataset).alias("id"), F.lit(0).alias("depth"), F.lit("target").alias("type"))
     both = up.unionByName(down).select(F.col("dataset").alias("id"), "depth", "type").groupBy("id").agg(F.min("depth").alias("depth"), F.max("type").alias("type"))
     nodes = materialize(target.unionByName(both.where(F.col("id") != dataset)).orderBy("depth", "id").limit(most + 1), "nodes")
     cut = nodes.count() > most
     kept = nodes.orderBy("depth", "id").limit(most)
-    pairs = log.select(F.explode(F.from_json("source_datasets", "array<string>")).alias("src"), F.col("dataset_name").alias("dst"), "operation").where("src <> dst").distinct()
     ids = kept.select("id")
     inner = pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return kept, inner.select("src", "dst", "operation"), cut

@@ -35,12 +35,14 @@ def _either(edges: DataFrame, direction: str) -> DataFrame:
 
 def neighbours(edges: DataFrame, sources: DataFrame, depth: int = 2, direction: str = "both", limit: int | None = None) -> DataFrame:
     """``id``, ``depth``: what can be reached from the sources (column ``id``) in at most ``depth`` steps (5 at most), at its least depth."""
-    links = _either(edges.select("src", "dst"), direction).distinct()
+    links = _either(edges.select("src", "dst"), direction)
     found = sources.select("id").distinct().withColumn("depth", F.lit(0))
     front = found
     for k in range(1, min(depth, 5) + 1):
         reached = front.join(links, front["id"] == links["src"]).select(F.col("dst").alias("id")).distinct()
         front = materialize(reached.join(found, "id", "left_anti").withColumn("depth", F.lit(k)), "front")
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found.orderBy("depth", "id").limit(limit) if limit else found
 
@@ -123,7 +125,7 @@ def all_shortest_paths(edges: DataFrame, source: object, target: object, directi
     Levels are walked until one holds the target; then only what lies on a shortest path is followed back.
     """
     spark, kind = edges.sparkSession, edges.schema["src"].dataType
-    links = _either(edges.select("src", "dst"), direction).distinct()
+    links = materialize(_either(edges.select("src", "dst"), direction).distinct(), "links")
     only = lambda x: spark.range(1).select(F.lit(x).cast(kind).alias("id"))
     levels = [only(source)]
     seen, front = levels[0], levels[0]

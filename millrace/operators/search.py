@@ -136,7 +136,7 @@ def postings(df: DataFrame, text: str = "text_content", key: str = "id", stop: S
     Terms in ``stop`` aren't indexed, though they count in a text's length; with ``positions`` there is a list of places
     (from 0), which :func:`phrase_search` needs. A null text and one without terms have no rows; texts of one key count as one.
     """
-    own = df.select(key, exprs.terms(F.col(text)).alias("terms")).where(F.size("terms") > 0)
+    own = df.select(key, exprs.terms(F.col(text)).alias("terms"))
     each = own.select(key, F.size("terms").alias("length"), F.posexplode("terms").alias("at", "term"))
     each = each.where(~F.col("term").isin(*stop)) if stop else each
     lists = [F.array_sort(F.collect_list("at")).alias("positions")] if positions else []
@@ -175,14 +175,15 @@ def matches(df: DataFrame, query: str, text: str = "text_content", key: str = "i
     statistics of the whole table are a few sums. Keys are unique.
     """
     asked = asked_terms(query, df.sparkSession)
-    own = df.select(key, exprs.terms(F.col(text)).alias("terms")).where(F.size("terms") > 0)
     if not asked:
-        return own.select(key, F.lit(0.0).alias("_score")).limit(0)
+        return df.select(key, F.lit(0.0).alias("_score")).limit(0)
+    own = df.select(key, exprs.terms(F.col(text)).alias("terms"))
     # only the terms asked for are counted one by one
     kept = own.select(key, F.size("terms").alias("length"), F.filter("terms", lambda w: w.isin(*asked)).alias("hit"))
     times = lambda q: F.size(F.filter("hit", lambda w: w == F.lit(q)))
     tf = F.array(*[times(q) for q in asked])
     counted = materialize(kept.select(key, "length", F.when(F.size("hit") > 0, tf).alias("tf")), "hits")
+    counted = counted.where("length > 0")
     sums = counted.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.get("tf", F.lit(k)) > 0).alias(f"d{k}") for k in range(len(asked))])  # one row
     parts = [F.when(F.get("tf", F.lit(k)) > 0, _part(F.get("tf", F.lit(k)), F.col(f"d{k}"), F.col("length"), F.col("docs"), F.col("mean"))).otherwise(0.0) for k in range(len(asked))]
     return counted.where("tf is not null").join(sums).select(key, reduce(lambda a, b: a + b, parts).alias("_score"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import rag, search
 from millrace.plans.registry import Tables, query
-from millrace.session import shared_dir
+from millrace.session import materialize, shared_dir
 
 
 def _q(t: Tables) -> list[float]:
@@ -59,7 +59,8 @@ _ASKED = "Hash joins, annex 向量索引"
 
 @query(_BM25)
 def fts_bm25_scores(t: Tables) -> DataFrame:
-    return search.bm25(search.postings(t.documents, "text", "doc_id"), _ASKED, None, key="doc_id").select("doc_id", F.round("_score", 6).alias("score"))
+    index = materialize(search.postings(t.documents, "text", "doc_id"), "index")
+    return search.bm25(index, _ASKED, None, key="doc_id").select("doc_id", F.round("_score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, score FROM ({_BM25}) ORDER BY score DESC, doc_id LIMIT 20")
@@ -150,4 +151,4 @@ s AS (SELECT item_id, doc_id, round(sum({_WEIGHT}), 6) AS _score FROM q JOIN f U
 SELECT item_id, doc_id, _score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY _score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
 def batch_retrieval(t: Tables) -> DataFrame:
     questions = t.eval_items.select("item_id", F.col("item_text").alias("question"))
-    return rag.batch_retrieve(questions, search.postings(t.documents, "text", "doc_id"), 3)
+    return rag.batch_retrieve(questions, materialize(search.postings(t.documents, "text", "doc_id"), "index"), 3)

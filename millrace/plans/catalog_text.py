@@ -10,6 +10,7 @@ from millrace.functions import exprs
 from millrace.operators import chunking, dedup, models, quality
 from millrace.operators.transforms import apply_transforms, clean
 from millrace.plans.registry import Tables, query
+from millrace.session import materialize
 
 
 @query("""SELECT doc_id, upper(trim(coalesce(source, 'none'))) AS source, concat_ws(' / ', category, lang) AS label, split_part(blob_key, '/', 2) AS blob_key_2,
@@ -155,7 +156,7 @@ def dedup_incremental(t: Tables) -> DataFrame:
 @query()
 def dedup_perceptual(t: Tables) -> DataFrame:
     """Fingerprints of texts stand in for those of images; the threshold is the operator's own, 10 bits."""
-    prints = t.documents.select("doc_id", dedup.simhash(F.col("text")).alias("bits"))
+    prints = materialize(t.documents.select("doc_id", dedup.simhash(F.col("text")).alias("bits")), "prints")
     return dedup.perceptual(prints, "bits", ["doc_id"], action="flag").select("doc_id", "is_duplicate")
 
 

@@ -149,6 +149,15 @@ def test_hamming_finds_all_pairs(spark):
     assert {r.bits for r in dedup.perceptual(df, "bits", ["id"]).collect()} == set(kept)
 
 
+def test_simhash(spark):
+    df = spark.createDataFrame([(1, "one two three four five"), (2, "Five, four; three two ONE!"), (3, ""), (4, None), (5, "other words entirely here")], "id int, text string")
+    got = {r.id: r.b for r in df.select("id", dedup.simhash(F.col("text")).alias("b")).collect()}
+    assert got[1] == got[2] != got[5] and got[3] == 0 and got[4] is None
+    words = df.where("id = 1").select(F.explode(F.split("text", " ")).alias("w")).select(F.xxhash64("w").alias("h")).collect()
+    sign = sum(1 << k for k in range(64) if sum(1 if r.h >> k & 1 else -1 for r in words) > 0)
+    assert got[1] % 2**64 == sign
+
+
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
     """First wins over all pairs at 0.8; buckets of many rows are cut into blocks."""
     monkeypatch.setattr(dedup, "BUCKET", 7)
