@@ -10,7 +10,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -107,8 +107,9 @@ def full_names(word: str) -> set[str]:
     return {word, *NICKNAMES.get(word, word).split()}
 
 
+@lru_cache(maxsize=1 << 18)
 def word_similarity(a: str, b: str) -> float:
-    """Of two words of names: equal, initial, short form, abbreviation, or Jaro-Winkler."""
+    """Of two words of names: equal, initial, short form, abbreviation, or Jaro-Winkler. A task keeps what it worked out, as names share words."""
     if a == b:
         return 1.0
     short, full = sorted((a, b), key=len)
@@ -294,7 +295,9 @@ def _candidates(classes: DataFrame) -> DataFrame:
     blocks = materialize(_block_words(classes), "blocks")
     keys = F.pandas_udf(_band_keys, "array<bigint>")
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    banded = blocks.select("word").distinct().where(~F.col("word").rlike("[㐀-鿿]")).repartition(parts, "word").select("word", F.explode(keys("word")).alias("band"))
+    # few rows with much to do: spread evenly, and written, as the join reads them twice
+    banded = blocks.select("word").distinct().where(~F.col("word").rlike("[㐀-鿿]")).repartition(parts)
+    banded = materialize(banded.select("word", F.explode(keys("word")).alias("band")), "bands")
     like = F.pandas_udf(lambda a, b: pd.Series([word_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
     met = banded.alias("l").join(banded.alias("r"), F.expr("l.band = r.band and l.word < r.word")).select(F.col("l.word").alias("one"), F.col("r.word").alias("two")).distinct()
     similar = materialize(met.where(like("one", "two") >= 0.8), "similar")
