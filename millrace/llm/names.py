@@ -394,7 +394,9 @@ def link_names(*tables: DataFrame, kinds: tuple[str, ...] = ("person", "organiza
     prepared = wanted.mapInPandas(_prepare, PREPARED)
     key = F.xxhash64(F.coalesce("kind", F.lit("")), F.array_join(F.array_sort("words"), " "), "acronym", F.array_join("context", " "))
     prepared = materialize(prepared.withColumn("key", key), "names")
-    members = prepared.groupBy("key").agg(F.min("vertex_id").alias("class_id"), F.first("kind").alias("kind"), F.first("words").alias("words"), F.first("acronym").alias("acronym"), F.first("context").alias("context"))
+    # what a class is called is what its least vertex is called, whichever row a task reads first: words may stand in another order
+    called = F.min_by(F.struct("kind", "words", "acronym", "context"), F.struct("vertex_id", "words")).alias("c")
+    members = prepared.groupBy("key").agg(F.min("vertex_id").alias("class_id"), called).select("key", "class_id", "c.*")
     classes = materialize(members, "classes")
     full = F.aggregate("words", F.lit(0), lambda n, w: n + F.when(F.char_length(w) > 1, 1).otherwise(0))
     weight = F.when(F.col("acronym"), 0).otherwise(1) + F.when(F.size("context") > 0, ANCHORED).otherwise(0) + F.when(F.col("kind").isNotNull(), 1).otherwise(0) + F.when(full > 1, 2).otherwise(0)

@@ -144,6 +144,8 @@ def test_names(spark):
     # the same name in another place may attract the one without a context, and nobody else
     assert want - got <= {(a, b) for a, b in want if 2 in (a, b)}
     assert got - want <= {(2, 6)}
+    again = names.linked_pairs(make(TWO[::-1]).repartition(3), make(ONE[::-1]).repartition(5))
+    assert {tuple(r) for r in again.collect()} == got
 
 
 @pytest.mark.parametrize(("one", "two"), [("Loldukelk", "Lolduekck"), ("Larkamomatn", "Larkamoamnn"), ("Felirostda", "Felirontad"), ("jenny", "jennifer")])
