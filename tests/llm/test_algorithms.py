@@ -168,6 +168,16 @@ def test_common_words_lose_no_candidate(spark, monkeypatch, one, two):
     assert (1, 2) in {tuple(r) for r in names._candidates(classes).collect()}
 
 
+@pytest.mark.parametrize(("one", "two"), [(["j", "r", "smithers"], ["johannes", "ruprecht", "smithers"]), (["smithers", "lena"], ["lena", "zwicky", "qvist", "smithers"])])
+def test_words_beyond_the_rarest_are_looked_up(spark, one, two):
+    """All that two names share may be words that are among the rarest of neither."""
+    rows = [(k, "organization", ["smithers", "lena", f"{chr(97 + k % 26)}{k}x{k % 7}"], False, [f"town{k}"]) for k in range(10, 80)]
+    rows += [(1, "organization", one, False, ["bregiton"]), (2, "organization", two, False, ["bregiton"])]
+    classes = spark.createDataFrame(rows, "class_id bigint, kind string, words array<string>, acronym boolean, context array<string>")
+    assert names.same_name(*[{"kind": k, "words": w, "acronym": a, "context": c} for _, k, w, a, c in rows[-2:]]) > 0
+    assert (1, 2) in {tuple(r) for r in names._candidates(classes).collect()}
+
+
 def test_stars_of_a_long_chain(spark):
     n = 60
     vertices = spark.createDataFrame([(k, n - k) for k in range(n)], "class_id bigint, weight int")
