@@ -45,6 +45,19 @@ def test_neighbours_of_bad_and_equal_vectors(spark):
     assert all(x.other.startswith("s") and abs(x.cosine - 1) < 1e-2 for k, _ in same for x in per[k])
 
 
+def test_neighbours_in_waves(spark, monkeypatch):
+    """Only so many copies of the vectors are shuffled at a time: the same neighbours."""
+    rng = np.random.default_rng(11)
+    df = table(spark, [(f"v{k:03}", v) for k, v in enumerate(rng.standard_normal((150, 16)))])
+    whole = {tuple(r) for r in neighbours.similar_pairs(df, dimensions=16).collect()}
+    waves, write = [], neighbours.materialize_alone
+    monkeypatch.setattr(neighbours, "materialize_alone", lambda df, name: waves.append(name) or write(df, name))
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    assert {tuple(r) for r in neighbours.similar_pairs(df, dimensions=16).collect()} == whole
+    assert len(waves) > 2
+    assert neighbours._waves({0: 3, 1: 2, 2: 9, 3: 1}, 5) == [{0, 1}, {2}, {3}]
+
+
 def test_neighbours_in_blocks_and_shares(spark, monkeypatch):
     """Lists cut into blocks, their queries into shares: the same neighbours."""
     rng = np.random.default_rng(11)
