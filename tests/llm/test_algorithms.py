@@ -191,6 +191,35 @@ def test_words_beyond_the_rarest_are_looked_up(spark, one, two):
     assert (1, 2) in {tuple(r) for r in names._candidates(classes).collect()}
 
 
+def test_sketches_lose_no_similar_word(spark):
+    """What sketches tell apart isn't similar: words with typos, short forms, initials and others, in numpy and in SQL."""
+    rng = random.Random(3)
+    words = ["bob", "robert", "robret", "dept", "department", "j", "jose", "abigail", "aabbaabbaa", "x" * 40, "éva"]
+    for _ in range(250):
+        word = "".join(rng.choice("abdeilmnorst") for _ in range(rng.randint(2, 9)))
+        k = rng.randrange(len(word))
+        words += [word, word[:k] + word[k + 1 :] + word[k : k + 1], word[:k] + rng.choice("aeb") + word[k:]]
+    words = sorted({w for w in words if w})
+    sketched = np.array([names.sketch(w) for w in words])
+    kept = names.alike(sketched[:, None], sketched[None, :])
+    similar = np.array([[names.word_similarity(a, b) >= 0.8 for b in words] for a in words])
+    assert not (similar & ~kept).any() and kept.mean() < 0.5
+    some = rng.sample(range(len(words)), 60)
+    got = spark.createDataFrame([(i, j, int(sketched[i]), int(sketched[j])) for i in some for j in some], "i int, j int, s bigint, t bigint")
+    assert all(r.kept == kept[r.i, r.j] for r in got.selectExpr("i", "j", f"{names.alike_sql('s', 't')} kept").collect())
+
+
+def test_names_told_apart_are_no_candidates(spark):
+    """A common word brings no pairs whose other words can't be similar; joined words, places and initials stay."""
+    own = [("organization", ["bebuwit", "credit", "union"], []), ("organization", ["pofimouth", "credit", "union"], []), ("organization", ["bebuwitcredit", "union"], []), ("person", ["lena", "smithers"], []), ("person", ["gus", "smithers"], ["bregiton"]), ("person", ["l", "smithers"], ["bregiton"])]
+    rows = [(k, kind, words, False, context) for k, (kind, words, context) in enumerate(own)]
+    classes = spark.createDataFrame(rows, "class_id bigint, kind string, words array<string>, acronym boolean, context array<string>")
+    same = {(a, b) for a in range(6) for b in range(a + 1, 6) if names.same_name(*[{"kind": k, "words": w, "acronym": False, "context": c} for _, k, w, _, c in (rows[a], rows[b])]) > 0}
+    got = {tuple(r) for r in names._candidates(classes).collect()}
+    assert same == {(0, 2), (3, 5)} and same <= got
+    assert not got & {(0, 1), (3, 4), (4, 5)}
+
+
 def test_stars_of_a_long_chain(spark):
     n = 60
     vertices = spark.createDataFrame([(k, n - k) for k in range(n)], "class_id bigint, weight int")
